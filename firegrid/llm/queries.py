@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality_classifier, quality_rules, sentencepiece_bpe, sharding, toxicity, warc
+from . import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, toxicity, warc
 from .common import remainder
 
 
@@ -22,6 +22,10 @@ def op1_quality_classifier(spark, sf_dir):
     return _held(quality_classifier.quality_classifier(_table(spark, sf_dir, "documents"), labels), 4, 2)
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"), n=3, pct=90)
+
+
 def op3_decontamination(spark, sf_dir):
     return decontamination.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,4 +63,4 @@ def op9_language_id(spark, sf_dir):
     return _held(language_id.language_id(docs, docs.where(remainder(4) != 2)), 4, 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_decontamination, op4_sentencepiece, op5_toxicity, op6_quality_rules, op7_warc, op8_sharding, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_toxicity, op6_quality_rules, op7_warc, op8_sharding, op9_language_id)}

@@ -20,7 +20,7 @@ from .common import Rolling, broadcast_value, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose encodings a worker keeps.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 800_000
 KEPT_PAIRS = 1_000_000
 CHUNK = 4 << 20
 
@@ -226,7 +226,9 @@ class Encoder:
         lead = text[begin]
         size = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
         covered = np.zeros(len(text), bool)
-        covered[start[end - start == size[np.searchsorted(begin, start)]]] = True
+        wide = np.zeros(len(text), np.int64)
+        wide[begin] = size
+        covered[start[end - start == wide[start]]] = True
         bare = ~covered[begin]
         chars = np.zeros(bare.sum(), np.int64)
         for k, (i, s) in enumerate(zip(begin[bare].tolist(), size[bare].tolist(), strict=True)):
