@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,16 +33,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Loops and repeated edges do no harm; no edges, no rows. A round is a few joins on node ids, whatever the sizes of
     components, and there are about log(nodes) rounds.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    held = Scratch(edges.sparkSession)
+    edges = held.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))).first()
     before = mark(edges)
     if before[0]:
         for _ in range(most_rounds):
-            edges = stored(_small(_large(edges)), "edges")
+            edges = held.stored(_small(_large(edges)), "edges")
             if (now := mark(edges)) == before:
                 break
             before = now
         else:
             raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct())
+    out = stored(nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct()), "components")
+    held.clear()
+    return out

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, broadcast_value, grams, mix, stored, text_chunks, word_spans
+from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, stored, text_chunks, word_spans
 from .components import components
 
 #: A shingle seen this often within one step of the scan is counted for the order of shingles.
@@ -284,21 +284,22 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     set and link with nothing. Rows that share a doc_id are one node; ties and repeated rows link like any equal sets.
     component_id is the least doc_id that can be reached. Other columns are ignored.
     """
-    found = stored(signatures(docs, n, pct), "signatures")
+    held = Scratch(docs.sparkSession)
+    found = held.stored(signatures(docs, n, pct), "signatures")
     real = found.where("n_shingles > 0")
-    classes = stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("prefix", True).alias("prefix")), "classes")
+    classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("prefix", True).alias("prefix")), "classes")
     listed = classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size"))
     # lists of two members and more, each with its pivot
     pivots = listed.groupBy("token").agg(F.min(F.struct("cid", "size")).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", F.col("p.cid").alias("pivot"), F.col("p.size").alias("pivot_size"), "m")
-    members = stored(listed.join(pivots, "token"), "lists")
+    members = held.stored(listed.join(pivots, "token"), "lists")
     near = "100 * least(size, pivot_size) >= {0} * greatest(size, pivot_size)".format(pct)
-    pairs = stored(members.where("cid <> pivot").where(near).select("pivot", "cid").distinct(), "pairs")
+    pairs = held.stored(members.where("cid <> pivot").where(near).select("pivot", "cid").distinct(), "pairs")
     unsure = members.select("cid").distinct()
-    texts = stored(_packed(docs).join(unsure, "cid", "left_semi").dropDuplicates(["cid"]), "packed")
+    texts = held.stored(_packed(docs).join(unsure, "cid", "left_semi").dropDuplicates(["cid"]), "packed")
     width = pairs.groupBy("pivot").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / PIECE).cast("int"))
     asked = pairs.join(width, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int")).select("pivot", "salt", "cid")
     own = width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid"))
-    links = stored(_pivot_links(asked.unionByName(own).join(texts, "cid"), n, pct), "links")
+    links = held.stored(_pivot_links(asked.unionByName(own).join(texts, "cid"), n, pct), "links")
     parts = components(links)
     # lists that hold members apart from each other, neither of them the pivot: searched in tiles
     placed = members.where("cid <> pivot").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
@@ -313,7 +314,9 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     parts = components(links.unionByName(more))
     own_class = real.join(classes.select("f1", "f2", "n_shingles", "cid"), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "cid")
     whole = own_class.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("cid")))
-    return whole.join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
+    out = stored(whole.join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id")), "ngram-join")
+    held.clear()
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:

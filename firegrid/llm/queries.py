@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, toxicity, warc
+from . import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc
 from .common import remainder
 
 
@@ -63,4 +63,8 @@ def op9_language_id(spark, sf_dir):
     return _held(language_id.language_id(docs, docs.where(remainder(4) != 2)), 4, 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_toxicity, op6_quality_rules, op7_warc, op8_sharding, op9_language_id)}
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_toxicity, op6_quality_rules, op7_warc, op8_sharding, op9_language_id, op10_suffix_dedup)}
