@@ -138,6 +138,29 @@ class ByteConvNet:
         return {k: v.astype(np.float32) for k, v in g.items()}
 
 
+def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
+    """The net, as a broadcast value: at most fit_rows labelled rows and their texts reach the driver."""
+    picked = sample_by_hash(labels.where("quality is not null").select("doc_id", "quality").distinct(), fit_rows)
+    seen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")  # at most fit_rows ids
+    rows = sorted((r.doc_id, r.text, r.quality) for r in sample_by_hash(seen, fit_rows).collect())
+    net = ByteConvNet()
+    if rows:
+        net.fit([t.encode() for _, t, _ in rows], np.array([q for *_, q in rows], np.float32))
+    return broadcast_value(docs.sparkSession, net)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+    model = fit_model(docs, labels, fit_rows)
+
+    def keep(batches):
+        for batch in batches:
+            for own, data, at in text_chunks(batch):
+                yield own.filter(pa.array(model.value.score(data, at) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (score >= threshold) for each row of docs.
 
@@ -145,14 +168,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     and their texts are the only ones that reach the driver. Null texts score as empty ones. Without examples every
     score is that of the untrained net. Repeated rows are each scored; other columns are ignored.
     """
-    spark = docs.sparkSession
-    picked = sample_by_hash(labels.where("quality is not null").select("doc_id", "quality").distinct(), fit_rows)
-    seen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")  # at most fit_rows ids
-    rows = sorted((r.doc_id, r.text, r.quality) for r in sample_by_hash(seen, fit_rows).collect())
-    net = ByteConvNet()
-    if rows:
-        net.fit([t.encode() for _, t, _ in rows], np.array([q for *_, q in rows], np.float32))
-    model = broadcast_value(spark, net)
+    model = fit_model(docs, labels, fit_rows)
 
     def predict(batches):
         for batch in batches:
