@@ -3,8 +3,9 @@
 Texts with the same shingle set form a class. If 100 I >= pct U, the partners share a shingle among the
 n - ceil(pct n / 100) + 1 first ones of either set in any common order; rare ones come first, so these are the short
 inverted lists, and they alone are shuffled. In each list the least class is the pivot: every other member is searched
-with the pivot as the query. Lists with members that this leaves apart are then searched in full, in tiles of bounded
-size, where a query is spared if all that it could link is linked. A search merges the short lists of the query with a
+with the pivot as the query. Lists with members that this leaves apart are looked at in tiles of bounded size: counts of
+shingles by parts of the hash space bound each overlap from above, and the few pairs left are searched; a tile with many
+is searched as a whole, where a query is spared if all that it could link is linked. A search merges the short lists of the query with a
 heap, and probes the long ones by bisection for what occurs often enough.
 """
 
@@ -27,6 +28,8 @@ SEEN_OFTEN = 4
 ORDER_ROWS = 200_000
 #: Members of a pivot, or of half a tile, that are searched in one piece.
 PIECE = 256
+#: Parts of the hash space in which shingles are counted to bound an overlap.
+CELLS = 256
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +279,85 @@ def _tile_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
     return dealt.select("bucket", "i", "j", "side", "cid", "comp", "packed").mapInArrow(search, "a long, b long")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
+    """The links among pairs (pivot, cid): members of a pivot are searched in pieces, with the pivot as the query."""
+    width = pairs.groupBy("pivot").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / PIECE).cast("int"))
+    asked = pairs.join(width, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int")).select("pivot", "salt", "cid")
+    own = width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid"))
+    return _pivot_links(asked.unionByName(own).join(texts, "cid"), n, pct)
+
+
+def _cells(texts: DataFrame, n: int) -> DataFrame:
+    """(cid, size, cells): how many of a set's shingles fall into each of CELLS parts of the hash space. The sum of the
+    lesser counts of two sets is at least their overlap."""
+
+    def count(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            ids, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a in range(0, len(ids), 128):
+                lists = Lists([z.decompress(x) for x in packed[a : a + 128]], n)
+                k = len(lists.sizes)
+                flat = np.repeat(np.arange(k), lists.sizes) * CELLS + (lists.keys >> np.uint64(40)).astype(np.int64) % CELLS
+                cells = np.bincount(flat, minlength=k * CELLS).astype(np.int32).reshape(k, CELLS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 128], pa.int64()), pa.array(lists.sizes, pa.int64()), pa.array([zstandard.compress(c.tobytes(), 1) for c in cells], pa.binary())], ["cid", "size", "cells"])
+
+    return texts.select("cid", "packed").mapInArrow(count, "cid long, size long, cells binary")
+
+
+def tile_pairs(comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, cells: np.ndarray, pct: int) -> list[tuple[int, int]] | None:
+    """Pairs of a tile, of different components, that the bound leaves open; None if these are many for the tile's size."""
+    out: list[tuple[int, int]] = []
+    two = len(set(sides.tolist())) == 2
+    for k in range(len(comps) - 1):
+        rest = slice(k + 1, None)
+        may = (comps[rest] != comps[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= pct * np.maximum(sizes[rest], sizes[k]))
+        if two:
+            may &= sides[rest] != sides[k]
+        at = np.flatnonzero(may) + k + 1
+        if len(at):
+            most = np.minimum(cells[at], cells[k]).sum(1)
+            out += [(k, j) for j in at[most >= required(sizes[k], sizes[at], pct)].tolist()]
+            if len(out) > 4 * len(comps) + 16:
+                return None
+    return out
+
+
+def _bounded_pairs(rows: DataFrame, pct: int) -> DataFrame:
+    """rows: (bucket, i, j, side, cid, comp, size, cells). (a, b, bucket, i, j): open pairs, or with null a and b a tile
+    that has to be searched with its texts."""
+
+    def search(batches):
+        group, held = None, []
+
+        def flush():
+            links, tiles = [], []
+            if len(held) > 1:
+                comps, sides, sizes = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
+                cells = np.stack([np.frombuffer(zstandard.decompress(h[4]), np.int32) for h in held])
+                got = tile_pairs(comps, sides, sizes, cells, pct)
+                if got is None:
+                    tiles = [(None, None, *group)]
+                else:
+                    links = [(held[x][0], held[y][0], *group) for x, y in got]
+            cols = list(zip(*links, *tiles, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "bucket", "i", "j"])
+
+        for batch in batches:
+            for bucket, i, j, side, cid, comp, size, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, i, j) != group:
+                    if len(held) > 1:
+                        yield flush()
+                    group, held = (bucket, i, j), []
+                held.append((cid, comp, side, size, cells))
+        if len(held) > 1:
+            yield flush()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+    return dealt.select("bucket", "i", "j", "side", "cid", "comp", "size", "cells").mapInArrow(search, "a long, b long, bucket long, i int, j int")
+
+
 def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text): components of the links
     100 * intersection >= pct * union between sets of n-word shingles of lower-case (A-Z) text.
@@ -288,29 +370,32 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     found = held.stored(signatures(docs, n, pct), "signatures")
     real = found.where("n_shingles > 0")
     classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("prefix", True).alias("prefix")), "classes")
-    listed = classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size"))
+    sizes = classes.select("cid", F.col("n_shingles").alias("size"))
+    listed = classes.select(F.explode("prefix").alias("token"), "cid")
     # lists of two members and more, each with its pivot
-    pivots = listed.groupBy("token").agg(F.min(F.struct("cid", "size")).alias("p"), F.count("*").alias("m")).where("m > 1").select("token", F.col("p.cid").alias("pivot"), F.col("p.size").alias("pivot_size"), "m")
+    pivots = listed.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("token", "pivot")
     members = held.stored(listed.join(pivots, "token"), "lists")
-    near = "100 * least(size, pivot_size) >= {0} * greatest(size, pivot_size)".format(pct)
-    pairs = held.stored(members.where("cid <> pivot").where(near).select("pivot", "cid").distinct(), "pairs")
-    unsure = members.select("cid").distinct()
-    texts = held.stored(_packed(docs).join(unsure, "cid", "left_semi").dropDuplicates(["cid"]), "packed")
-    width = pairs.groupBy("pivot").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / PIECE).cast("int"))
-    asked = pairs.join(width, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int")).select("pivot", "salt", "cid")
-    own = width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid"))
-    links = held.stored(_pivot_links(asked.unionByName(own).join(texts, "cid"), n, pct), "links")
+    pairs = members.where("cid <> pivot").select("pivot", "cid").distinct().join(sizes, "cid").join(sizes.select(F.col("cid").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
+    pairs = held.stored(pairs.where(f"100 * least(size, pivot_size) >= {pct} * greatest(size, pivot_size)").select("pivot", "cid"), "pairs")
+    texts = held.stored(_packed(docs).join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "packed")
+    links = held.stored(_verified(pairs, texts, n, pct), "links")
     parts = components(links)
     # lists that hold members apart from each other, neither of them the pivot: searched in tiles
     placed = members.where("cid <> pivot").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    placed = held.stored(placed.select("token", "cid", "comp"), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(5), "cid"), 24)).alias("x2")).where("a <> b")
     once = apart.groupBy("k", "x1", "x2").agg(F.min("token").alias("token")).select("token", F.greatest(F.lit(1), F.ceil(F.col("k") / PIECE)).cast("int").alias("cuts"))
     tiled = placed.join(once, "token").withColumn("c", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("cuts")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
         F.col("token").alias("bucket"), F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "cid", "comp"
     )
-    tiled = tiled.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("c") == F.col("i"), 0).otherwise(1))).drop("c")
-    more = _tile_links(tiled.join(texts, "cid"), n, pct)
+    tiled = held.stored(tiled.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("c") == F.col("i"), 0).otherwise(1))).drop("c"), "tiles")
+    bounds = _cells(texts.join(tiled.select("cid").distinct(), "cid", "left_semi"), n)
+    doubts = held.stored(_bounded_pairs(tiled.join(bounds, "cid"), pct), "doubts")
+    more = _verified(doubts.where("a is not null").select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("cid")).distinct(), texts, n, pct)
+    dense = doubts.where("a is null").select("bucket", "i", "j")
+    if not dense.isEmpty():
+        more = more.unionByName(_tile_links(tiled.join(dense, ["bucket", "i", "j"]).join(texts, "cid"), n, pct))
     parts = components(links.unionByName(more))
     own_class = real.join(classes.select("f1", "f2", "n_shingles", "cid"), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "cid")
     whole = own_class.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("cid")))
