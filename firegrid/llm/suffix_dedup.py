@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, stored, text_chunks
+from .common import Rolling, Scratch, broadcast_value, stored, text_chunks
 
 GRAM = 16
 #: Bytes of text whose anchors a task gathers before it sends them on.
@@ -26,8 +26,8 @@ FLUSH_BYTES = 24 << 20
 STEP_BYTES = 1 << 22
 #: Suffix starts that are sorted at once.
 SORT_ROWS = 1 << 21
-#: Different surroundings of one leading key from which on each suffix is dealt out by itself.
-HOT_LEAD = 50_000
+#: Surroundings a task remembers, to send equal ones of larger documents no further.
+KNOWN = 300_000
 _LOW = np.uint64((1 << 23) - 1)
 
 
@@ -156,37 +156,67 @@ def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     return met.groupBy("f1").agg(F.collect_list("marks").alias("marks"))
 
 
-def _surroundings(texts: DataFrame, least: int) -> DataFrame:
-    """(f1, cid, first, lead, around) of each repeated anchor: its suffixes are around[j : j + least]. texts: (f1, cid,
-    packed, marks)."""
+def _splitters(docs: DataFrame, least: int, parts: int) -> np.ndarray:
+    """Leading keys that cut the anchors of a few sampled texts into equal parts; they decide about balance alone."""
+    texts = [r["text"].encode()[: 1 << 16] for r in docs.select("text").limit(300).collect()]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    leads = []
+    for lo, hi in _pieces(at):
+        pos = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], least)[1]
+        raw = data[at[lo] : at[hi]].tobytes()
+        leads += [int.from_bytes(raw[p : p + 8]) for p in pos.tolist()]
+    leads = np.sort(np.array(leads, np.uint64))
+    return np.unique(leads[np.linspace(0, len(leads) - 1, parts + 1).astype(int)[1:-1]]) if len(leads) else leads
+
+
+def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray) -> DataFrame:
+    """(part, lead, f1, cid, first, around) of each repeated anchor: its suffixes are around[j : j + least]. Where a task
+    knows the same surroundings from a smaller document, around is null and lead holds the end of the removed range, for
+    nothing has to be compared. texts: (f1, cid, packed, marks)."""
+    shared = broadcast_value(texts.sparkSession, splitters)
 
     def cut(batches):
-        z = zstandard.ZstdDecompressor()
+        z, known = zstandard.ZstdDecompressor(), {}
+        done: set[int] = set()
         for batch in batches:
             f1, cid, packed, marks = (c.to_pylist() for c in batch.columns)
             for a in range(0, len(f1), 64):
-                raw = [z.decompress(x) for x in packed[a : a + 64]]
+                pick = [k for k in range(a, min(len(f1), a + 64)) if f1[k] not in done]
+                done.update(f1[k] for k in pick)
+                raw = [z.decompress(packed[k]) for k in pick]
                 at = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
                 data = np.frombuffer(b"".join(raw), np.uint8)
                 for lo, hi in _pieces(at):
                     part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                     row, pos, first, last, h = anchors(part, own, least)
                     short = h.astype(np.uint32)
+                    bound = np.searchsorted(row, np.arange(hi - lo + 1))
                     keep = np.zeros(len(row), bool)
-                    for r in np.unique(row):
-                        mine = row == r if hi - lo > 1 else slice(None)
-                        keep[mine] = np.isin(short[mine], np.frombuffer(b"".join(marks[a + lo + r]), np.uint32))
+                    for r in range(hi - lo):
+                        mine = slice(bound[r], bound[r + 1])
+                        keep[mine] = np.isin(short[mine], np.frombuffer(b"".join(marks[pick[lo + r]]), np.uint32))
                     row, pos, first, last = row[keep], pos[keep], first[keep], last[keep]
-                    text = part.tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([f1[a + lo + r] for r in row.tolist()], pa.int64()), pa.array([cid[a + lo + r] for r in row.tolist()], pa.int64()), pa.array(first - own[row], pa.int64()),
-                            pa.array([text[p : p + 8] for p in pos.tolist()], pa.binary()), pa.array([text[i : j + least] for i, j in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["f1", "cid", "first", "lead", "around"],
-                    )
-
-    return texts.select("f1", "cid", "packed", "marks").mapInArrow(cut, "f1 long, cid long, first long, lead binary, around binary")
+                    text, rows = part.tobytes(), []
+                    lead = [int.from_bytes(text[p : p + 8]) for p in pos.tolist()]
+                    where = np.searchsorted(shared.value, np.array(lead, np.uint64), "right").tolist()
+                    for r, i, j, key, to in zip(row.tolist(), first.tolist(), last.tolist(), lead, where, strict=True):
+                        k = pick[lo + r]
+                        around, begin = text[i : j + least], i - int(own[r])
+                        before = known.get(around)
+                        if before is not None and before < cid[k]:
+                            rows.append((to, begin + len(around), f1[k], cid[k], begin, None))
+                            continue
+                        if before is None or cid[k] < before:
+                            if len(known) > KNOWN:
+                                known.clear()
+                            known[around] = cid[k]
+                        rows.append((to, key - (1 << 63), f1[k], cid[k], begin, around))
+                    cols = list(zip(*rows, strict=True)) or [()] * 6
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "lead", "f1", "cid", "first", "around"])
+
+    return texts.select("f1", "cid", "packed", "marks").mapInArrow(cut, "part int, lead long, f1 long, cid long, first long, around binary")
 
 
 def _pieces(at: np.ndarray):
@@ -237,60 +267,59 @@ def least_owner(around: list[bytes], owner: np.ndarray, least: int) -> list[np.n
     return [out[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
-def _minima(unique: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, minima): for surroundings whose suffixes may repeat, the least owner of each suffix.
-    unique: (k1, k2, lead, around, cid, copies)."""
+def _spans(around: DataFrame, least: int, parts: int) -> DataFrame:
+    """(f1, starts, ends): ranges that go, from the sorted suffixes of each range of leading keys."""
 
     def sort(batches):
-        held, rows = [], 0
+        held, rows, lead = [], 0, None
 
         def work():
-            if not held:
-                return None
-            k1, k2, around, cid, copies = (list(x) for x in zip(*((h[0], h[1], h[3], h[4], h[5]) for h in held), strict=True))
-            owner = np.array(cid, np.int64)
-            got = least_owner(around, owner, least)
-            keep = [i for i, m in enumerate(got) if copies[i] > 1 or (m < owner[i]).any()]
-            flat = np.concatenate([got[i] for i in keep]) if keep else np.zeros(0, np.int64)
-            ends = np.concatenate(([0], np.cumsum([len(got[i]) for i in keep])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k1[i] for i in keep], pa.int64()), pa.array([k2[i] for i in keep], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["k1", "k2", "minima"]
-            )
+            owner = np.array([h[1] for h in held], np.int64)
+            out = []
+            for h, m in zip(held, least_owner([h[3] for h in held], owner, least), strict=True):
+                gone = np.flatnonzero(m < h[1])
+                if len(gone):
+                    cut = np.flatnonzero(np.diff(gone) > 1)
+                    starts, ends = gone[np.concatenate(([0], cut + 1))], gone[np.concatenate((cut, [len(gone) - 1]))]
+                    out.append((h[0], (h[2] + starts).tolist(), (h[2] + ends + least).tolist()))
+            return batch_of(out)
+
+        def batch_of(out):
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], ["f1", "starts", "ends"])
 
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows >= SORT_ROWS and r[2] != held[-1][2]:
+            ready = []
+            for key, f1, cid, first, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if around is None:
+                    ready.append((f1, [first], [key]))
+                    continue
+                if rows >= SORT_ROWS and key != lead:
                     yield work()
                     held, rows = [], 0
-                held.append(r)
-                rows += len(r[3]) - least + 1
+                lead = key
+                held.append((f1, cid, first, around))
+                rows += len(around) - least + 1
+            if ready:
+                yield batch_of(ready)
         if held:
             yield work()
 
-    parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = unique.select("k1", "k2", "lead", "around", "cid", "copies").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    return ranged.mapInArrow(sort, "k1 long, k2 long, minima array<long>")
-
-
-def _minima_of_hot(unique: DataFrame, least: int) -> DataFrame:
-    """The same for leading keys with very many surroundings: each suffix is a row and meets its equals by a hash."""
-    one = unique.select("k1", "k2", "cid", F.posexplode(F.expr(f"transform(sequence(1, octet_length(around) - {least - 1}), i -> substring(around, i, {least}))")).alias("j", "suffix"))
-    best = one.groupBy("suffix").agg(F.min("cid").alias("m"))
-    back = one.join(best, "suffix").groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("x"))
-    return back.select("k1", "k2", F.expr("transform(x, y -> y.m)").alias("minima"))
+    ranged = around.repartition(parts, "part").sortWithinPartitions("lead")
+    return ranged.select("lead", "f1", "cid", "first", "around").mapInArrow(sort, "f1 long, starts array<long>, ends array<long>")
 
 
-def repeated_spans(docs: DataFrame, least: int, held: Scratch, hot: int = HOT_LEAD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marks, spans, texts). marks: (doc_id, n_bytes, f1, f2) of each row; spans: (f1, starts, ends), removed ranges of the
-    texts whose least document is asked, unmerged; texts: (f1, cid, packed) of the texts that may have some."""
+def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks, spans, packed). marks: (doc_id, n_bytes, f1, f2, whole, cid) of each row; spans: (f1, starts, ends), removed
+    ranges of each text when its least document asks, unmerged; packed: (f1, packed) of texts, copies included."""
     fingered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"f1": F.xxhash64(F.lit(1), "text"), "f2": F.xxhash64(F.lit(2), "text")})
-    long_enough = F.octet_length("text") >= least
+    long_enough = fingered.where(F.octet_length("text") >= least)
     marks = held.stored(fingered.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "f1", "f2", F.sha2("text", 256).alias("whole")), "marks")
     classes = marks.where(F.col("n_bytes") >= least).groupBy("f1").agg(F.min("doc_id").alias("cid"))
-    again = held.stored(_repeated_anchors(fingered.where(long_enough).select("f1", "text"), least), "anchors")
+    again = held.stored(_repeated_anchors(long_enough.select("f1", "text"), least).join(classes, "f1"), "anchors")
 
     def pack(batches):
-        z, seen = zstandard.ZstdCompressor(level=1), set()
+        z, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
             for own, data, at in text_chunks(batch):
                 raw, f1, packed = data.tobytes(), [], []
@@ -301,21 +330,12 @@ def repeated_spans(docs: DataFrame, least: int, held: Scratch, hot: int = HOT_LE
                         packed.append(z.compress(raw[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(packed, pa.binary())], ["f1", "packed"])
 
-    packed = fingered.where(long_enough).select("f1", "text").mapInArrow(pack, "f1 long, packed binary")
-    texts = held.stored(packed.join(again.join(classes, "f1"), "f1").dropDuplicates(["f1"]), "texts")
-    around = held.stored(_surroundings(texts, least).withColumns({"k1": F.xxhash64(F.lit(1), "around"), "k2": F.xxhash64(F.lit(2), "around")}), "surroundings")
-    unique = held.stored(around.groupBy("k1", "k2").agg(F.min("cid").alias("cid"), F.count("*").alias("copies"), F.first("lead").alias("lead"), F.first("around").alias("around")), "unique")
-    hot_leads = held.stored(unique.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("lead"), "hot")
-    if hot_leads.isEmpty():
-        minima = _minima(unique, least)
-    else:
-        minima = _minima(unique.join(hot_leads, "lead", "left_anti"), least).unionByName(_minima_of_hot(unique.join(hot_leads, "lead", "left_semi"), least))
-    where = F.expr("filter(sequence(0, size(minima) - 1), j -> minima[j] < cid)")
-    hit = around.select("f1", "cid", "first", "k1", "k2").join(minima, ["k1", "k2"]).withColumn("at", where).where("size(at) > 0")
-    # suffixes in a row make one range
-    runs = hit.select("f1", "first", F.expr("filter(at, (j, i) -> i = 0 or at[i - 1] < j - 1)").alias("a"), F.expr("filter(at, (j, i) -> i = size(at) - 1 or at[i + 1] > j + 1)").alias("b"))
-    spans = runs.select("f1", F.expr("transform(a, j -> first + j)").alias("starts"), F.expr(f"transform(b, j -> first + j + {least})").alias("ends")).groupBy("f1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return marks.join(classes, "f1", "left"), spans, texts
+    # one query from here on, so that the texts, needed twice, are shuffled by fingerprint once
+    packed = long_enough.select("f1", "text").mapInArrow(pack, "f1 long, packed binary")
+    parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    around = _surroundings(packed.join(again.hint("merge"), "f1"), least, _splitters(long_enough, least, parts))
+    spans = _spans(around, least, parts).groupBy("f1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return marks.join(classes, "f1", "left"), spans, packed
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -328,7 +348,7 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, least: int = 50, hot: int = HOT_LEAD) -> DataFrame:
+def suffix_dedup(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of {start, end} in bytes) for each row of docs.
 
     A byte goes if a string of `least` bytes over it also starts in a document with a smaller doc_id. Null texts are empty.
@@ -337,7 +357,7 @@ def suffix_dedup(docs: DataFrame, least: int = 50, hot: int = HOT_LEAD) -> DataF
     ignored; texts of any length are looked at whole.
     """
     held = Scratch(docs.sparkSession)
-    marks, spans, texts = repeated_spans(docs, least, held, hot)
+    marks, spans, packed = repeated_spans(docs, least, held)
 
     def apply(batches):
         z = zstandard.ZstdDecompressor()
@@ -355,7 +375,7 @@ def suffix_dedup(docs: DataFrame, least: int = 50, hot: int = HOT_LEAD) -> DataF
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], ["f1", "gone", "kept", "ranges"])
 
-    cut = texts.select("f1", "packed").join(spans, "f1").select("f1", "packed", "starts", "ends").mapInArrow(apply, "f1 long, gone long, kept string, ranges array<struct<start:long,end:long>>")
+    cut = packed.join(spans.hint("merge"), "f1").select("f1", "packed", "starts", "ends").mapInArrow(apply, "f1 long, gone long, kept string, ranges array<struct<start:long,end:long>>").dropDuplicates(["f1"])
     copy = (F.col("doc_id") > F.col("cid")) & (F.col("n_bytes") >= least)
     own = (F.col("doc_id") == F.col("cid")) & F.col("gone").isNotNull()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
