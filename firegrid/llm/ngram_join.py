@@ -12,6 +12,7 @@ heap, and probes the long ones by bisection for what occurs often enough.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, stored
 from .components import components
 
 #: A shingle seen this often within one step of the scan is counted for the order of shingles.
-SEEN_OFTEN = 4
+SEEN_OFTEN = 3
+#: Bytes of text in such a step.
+COUNT_BYTES = 16 << 20
 #: Most shingles whose frequency the order knows; the others count as rare. It decides about cost, not about results.
-ORDER_ROWS = 200_000
+ORDER_ROWS = 1_000_000
 #: Members of a pivot, or of half a tile, that are searched in one piece.
 PIECE = 256
 #: Parts of the hash space in which shingles are counted to bound an overlap.
@@ -119,13 +122,22 @@ def _frequent(docs: DataFrame, n: int) -> DataFrame:
     """(token, df): shingles that occur often within a step of the scan, and how often in all such steps."""
 
     def count(batches):
+        held, size = [], 0
+
+        def flush():
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= SEEN_OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(times[often], pa.int64())], ["token", "df"])
+
         for batch in batches:
-            for _, data, at in text_chunks(batch, most=4 << 20):
-                keys, _ = shingle_sets(data, at, n)
-                keys, times = np.unique(keys, return_counts=True)
-                often = times >= SEEN_OFTEN
-                if often.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(times[often], pa.int64())], ["token", "df"])
+            for _, data, at in text_chunks(batch):
+                held.append(shingle_sets(data, at, n)[0])
+                size += len(data)
+                if size >= COUNT_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
@@ -133,9 +145,9 @@ def _frequent(docs: DataFrame, n: int) -> DataFrame:
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, prefix): size and fingerprint of each set and its rarest shingles; prefix is null
     for an empty set and where the task has seen the set before."""
-    top = _frequent(docs, n).orderBy(F.desc("df"), "token").limit(ORDER_ROWS).collect()
-    known = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-    level = np.array([int(r["df"]).bit_length() for r in top], np.uint8)
+    top = _frequent(docs, n).orderBy(F.desc("df"), "token").limit(ORDER_ROWS).toArrow()
+    known = top.column("token").to_numpy().view(np.uint64)
+    level = np.ceil(np.log2(top.column("df").to_numpy().astype(float) + 1)).astype(np.uint8)
     by = np.argsort(known)
     shared = broadcast_value(docs.sparkSession, (known[by], level[by]))  # at most ORDER_ROWS rows of 9 bytes
 
@@ -382,7 +394,9 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     parts = components(links)
     # lists that hold members apart from each other, neither of them the pivot: searched in tiles
     placed = members.where("cid <> pivot").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    placed = held.stored(placed.select("token", "cid", "comp"), "placed")
+    # partners differ in size by little, so a list falls into bands of size; a member is in its own and in the next
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / pct)) + 1e-9)
+    placed = held.stored(placed.join(sizes, "cid").withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "cid", "comp"), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(5), "cid"), 24)).alias("x2")).where("a <> b")
     once = apart.groupBy("k", "x1", "x2").agg(F.min("token").alias("token")).select("token", F.greatest(F.lit(1), F.ceil(F.col("k") / PIECE)).cast("int").alias("cuts"))
     tiled = placed.join(once, "token").withColumn("c", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("cuts")).cast("int"))

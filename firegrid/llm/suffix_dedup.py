@@ -13,19 +13,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, broadcast_value, stored, text_chunks
+from .common import Rolling, Scratch, broadcast_value, stored, text_buffers, text_chunks
 
 GRAM = 16
 #: Bytes of text whose anchors a task gathers before it sends them on.
 FLUSH_BYTES = 24 << 20
 #: Bytes of one text that are looked at in one step; steps overlap, and every suffix is in one.
 STEP_BYTES = 1 << 22
-#: Suffix starts that are sorted at once.
-SORT_ROWS = 1 << 21
+#: Bytes of surroundings whose suffixes are sorted at once.
+SORT_BYTES = 4 << 20
 #: Surroundings a task remembers, to send equal ones of larger documents no further.
 KNOWN = 300_000
 _LOW = np.uint64((1 << 23) - 1)
@@ -101,9 +102,11 @@ def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
             rows = []
             for k, pick in enumerate((head, here)):
                 b, s, o = bucket[pick], short[pick], own[pick]
+                if not len(b):
+                    continue
                 by = np.lexsort((o, b))
                 b, s, o = b[by], s[by], o[by]
-                cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
+                cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
                 for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
                     rows.append((int(b[i]), bool(k), z.compress(o[i:j].tobytes()), s[i:j].tobytes()))
             cols = list(zip(*rows, strict=True))
@@ -228,85 +231,92 @@ def _pieces(at: np.ndarray):
         a = min(b, n)
 
 
-def least_owner(around: list[bytes], owner: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each row the least owner of each of its suffixes among all rows: a multikey quicksort of the suffixes."""
-    size = np.array([len(x) for x in around])
-    count = size - least + 1
-    data = np.frombuffer(b"".join(around) + bytes(8), np.uint8).astype(np.uint64)
-    words = np.zeros(len(data) - 7, np.uint64)
+def least_owner(data: np.ndarray, at: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, least owner among all rows) of each suffix of each row: a multikey quicksort of the suffixes."""
+    count = np.diff(at) - least + 1
+    wide = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.zeros(len(data) + 1, np.uint64)
     for k in range(8):
-        words = (words << np.uint64(8)) | data[k : k + len(words)]
-    begin = np.cumsum(size) - size
+        words = (words << np.uint64(8)) | wide[k : k + len(words)]
     upto = np.concatenate(([0], np.cumsum(count)))
-    row = np.repeat(np.arange(len(around)), count)
-    start = begin[row] + np.arange(upto[-1]) - upto[row]
+    row = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(upto[-1]) - upto[row]
+    start = at[row] + offset
     depths = [*range(0, least - 7, 8)]
     if depths[-1] + 8 < least:
         depths.append(least - 8)
-    order = np.argsort(words[start], kind="stable")
+    w = words[start]
+    order = np.argsort(w, kind="stable")
+    w = w[order]
     bound = np.ones(len(order), bool)  # where a run of equal suffixes begins
-    w = words[start[order]]
     bound[1:] = w[1:] != w[:-1]
+    at_ = None
     for d in depths[1:]:
         inside = ~bound
         inside[:-1] |= ~bound[1:]
-        at = np.flatnonzero(inside)  # only what is still equal to a neighbour is sorted on
-        if not len(at):
+        at_ = np.flatnonzero(inside)  # only what is still equal to a neighbour is sorted on
+        if not len(at_):
             break
-        run = np.cumsum(bound)[at]
-        w = words[start[order[at]] + d]
-        by = np.lexsort((w, run))
-        order[at] = order[at[by]]
-        w, run = w[by], run[by]
-        differs = np.concatenate(([True], (w[1:] != w[:-1]) | (run[1:] != run[:-1])))
-        bound[at] |= differs
+        run = np.cumsum(bound)[at_]
+        w = words[start[order[at_]] + d]
+        if ((w[1:] != w[:-1]) & (run[1:] == run[:-1])).any():
+            by = np.lexsort((w, run))
+            order[at_] = order[at_[by]]
+            w = w[by]
+        bound[at_] |= np.concatenate(([True], (w[1:] != w[:-1]) | (run[1:] != run[:-1])))
     heads = np.flatnonzero(bound)
-    best = np.minimum.reduceat(owner[row][order], heads)
+    best = np.minimum.reduceat(owner[row][order], heads) if len(order) else owner[:0]
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(best, np.diff(np.concatenate((heads, [len(order)]))))
-    return [out[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    return row, offset, out
 
 
 def _spans(around: DataFrame, least: int, parts: int) -> DataFrame:
-    """(f1, starts, ends): ranges that go, from the sorted suffixes of each range of leading keys."""
+    """(f1, start, stop): ranges that go, from the sorted suffixes of each range of leading keys."""
 
     def sort(batches):
-        held, rows, lead = [], 0, None
-
-        def work():
-            owner = np.array([h[1] for h in held], np.int64)
-            out = []
-            for h, m in zip(held, least_owner([h[3] for h in held], owner, least), strict=True):
-                gone = np.flatnonzero(m < h[1])
-                if len(gone):
-                    cut = np.flatnonzero(np.diff(gone) > 1)
-                    starts, ends = gone[np.concatenate(([0], cut + 1))], gone[np.concatenate((cut, [len(gone) - 1]))]
-                    out.append((h[0], (h[2] + starts).tolist(), (h[2] + ends + least).tolist()))
-            return batch_of(out)
-
-        def batch_of(out):
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], ["f1", "starts", "ends"])
-
+        names = ["f1", "start", "stop"]
+
+        def work(table):
+            lead = table.column("lead").to_numpy()
+            alone = np.ones(len(lead), bool)  # a leading key that no other row has
+            alone[1:] &= lead[1:] != lead[:-1]
+            alone[:-1] &= lead[:-1] != lead[1:]
+            table = table.filter(pa.array(~alone))
+            f1, owner, first = (table.column(c).to_numpy() for c in ("f1", "cid", "first"))
+            if not len(f1):
+                return pa.RecordBatch.from_arrays([pa.array(f1, pa.int64())] * 3, names)
+            data, at = text_buffers(table.column("around"))
+            row, offset, best = least_owner(data, at, owner, least)
+            gone = np.flatnonzero(best < owner[row])
+            row, offset = row[gone], offset[gone]
+            cut = np.flatnonzero((row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)) if len(row) else np.zeros(0, np.int64)
+            a, b = np.concatenate(([0], cut + 1))[: len(row)], np.concatenate((cut, [len(row) - 1]))[: len(cut) + (len(row) > 0)]
+            return pa.RecordBatch.from_arrays([pa.array(f1[row[a]]), pa.array(first[row[a]] + offset[a]), pa.array(first[row[b]] + offset[b] + least)], names)
+
+        held, size = [], 0
         for batch in batches:
-            ready = []
-            for key, f1, cid, first, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if around is None:
-                    ready.append((f1, [first], [key]))
-                    continue
-                if rows >= SORT_ROWS and key != lead:
-                    yield work()
-                    held, rows = [], 0
-                lead = key
-                held.append((f1, cid, first, around))
-                rows += len(around) - least + 1
-            if ready:
-                yield batch_of(ready)
+            whole = batch.column(batch.schema.get_field_index("around")).is_valid()
+            ready = batch.filter(pc.invert(whole))
+            if ready.num_rows:
+                yield pa.RecordBatch.from_arrays([ready.column("f1"), ready.column("first"), ready.column("lead")], names)
+            rest = batch.filter(whole)
+            if not rest.num_rows:
+                continue
+            if size >= SORT_BYTES:
+                lead = rest.column("lead").to_numpy()
+                last = held[-1].column("lead")[-1].as_py()
+                new = int(np.searchsorted(lead, last, "right"))  # rows of the key that is open belong to it
+                if new < len(lead):
+                    yield work(pa.Table.from_batches([*held, rest.slice(0, new)]))
+                    rest, held, size = rest.slice(new), [], 0
+            held.append(rest)
+            size += rest.column("around").nbytes
         if held:
-            yield work()
+            yield work(pa.Table.from_batches(held))
 
     ranged = around.repartition(parts, "part").sortWithinPartitions("lead")
-    return ranged.select("lead", "f1", "cid", "first", "around").mapInArrow(sort, "f1 long, starts array<long>, ends array<long>")
+    return ranged.select("lead", "f1", "cid", "first", "around").mapInArrow(sort, "f1 long, start long, stop long")
 
 
 def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -334,7 +344,7 @@ def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFram
     packed = long_enough.select("f1", "text").mapInArrow(pack, "f1 long, packed binary")
     parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     around = _surroundings(packed.join(again.hint("merge"), "f1"), least, _splitters(long_enough, least, parts))
-    spans = _spans(around, least, parts).groupBy("f1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    spans = _spans(around, least, parts).groupBy("f1").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
     return marks.join(classes, "f1", "left"), spans, packed
 
 

@@ -136,8 +136,9 @@ class BiGru:
             pull = max(1.0, min(20.0, len(clean) / max(1, 2 * len(worst))))
             rate *= 0.7
             order = rng.permutation(np.concatenate((clean, worst)))
-            for i in range(0, len(order), batch):
-                pick = order[i : i + batch]
+            some = min(batch, max(8, len(order) // 80))  # few examples: smaller steps, and as many
+            for i in range(0, len(order), some):
+                pick = order[i : i + some]
                 g = self._gradients(index[pick], word, chars, bad[pick].astype(np.float32), pull)
                 step += 1
                 for k, (rows_, d) in g.items():
