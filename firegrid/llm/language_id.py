@@ -73,8 +73,10 @@ def language_id(docs: DataFrame, training: DataFrame, fit_rows: int = FIT_ROWS)
     4 bytes x 65,536 x languages.
     """
     spark = docs.sparkSession
-    picked = sample_by_hash(training.where("lang is not null and text is not null").select("doc_id", "text", "lang"), fit_rows)
-    langs, prior, table = fit([(r.text, r.lang) for r in picked.collect()])
+    examples = training.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    ids = sample_by_hash(examples.select("doc_id"), fit_rows).distinct()  # ids first: no task sends more texts than are used
+    picked = sample_by_hash(examples.join(F.broadcast(ids), "doc_id"), fit_rows)  # at most fit_rows ids
+    langs, prior, table = fit(sorted((r.text, r.lang) for r in picked.collect()))
     model = broadcast_value(spark, (langs, prior, table))
 
     def predict(batches):

@@ -40,6 +40,21 @@ def features(data: np.ndarray, at: np.ndarray):
     return word, chars, rows
 
 
+def _features_of(texts: list[bytes]):
+    """features() of a list of texts, some at a time."""
+    got, a = [(np.zeros(0, np.int32), np.zeros((0, N_CHAR), np.int32), np.zeros(0, np.int64))], 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 20):
+            size += len(texts[b])
+            b += 1
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts[a:b]]))).astype(np.int64)
+        word, chars, rows = features(np.frombuffer(b"".join(texts[a:b]), np.uint8), at)
+        got.append((word, chars, rows + a))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def windows(rows: np.ndarray, n_docs: int):
     """Indexes of words (windows x WINDOW, -1: none) and the row of each window; every word is in a window."""
     count = np.bincount(rows, minlength=n_docs)
@@ -116,8 +131,7 @@ class BiGru:
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 2e-2, seed: int = 3):
         """Windows of texts labelled 0 are examples of 0; of a text labelled 1, its worst window so far is one of 1 (at
         first by the log odds of single words and parts of words, then by the net)."""
-        at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        word, chars, rows = features(np.frombuffer(b"".join(texts), np.uint8), at)
+        word, chars, rows = _features_of(texts)
         index, of = windows(rows, len(texts))
         signs = self._begin(word, chars, rows, labels)
         rng, step = np.random.default_rng(seed), 0
@@ -154,9 +168,12 @@ class BiGru:
         signs = np.full(len(word), -np.inf)
         for name, ids in (("word", word[:, None]), ("char", chars)):
             size = len(self.p[name])
-            seen = np.unique(np.stack([np.repeat(rows, ids.shape[1]), ids.ravel()]), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
-            pos = np.bincount(seen[1][labels[seen[0]] == 1], minlength=size)
-            neg = np.bincount(seen[1][labels[seen[0]] != 1], minlength=size)
+            keys = (rows[:, None] * size + ids).ravel()
+            keys.sort()
+            doc, key = np.divmod(keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys, size)
+            bad = labels[doc] == 1
+            pos, neg = np.bincount(key[bad], minlength=size), np.bincount(key[~bad], minlength=size)
+            del keys, doc, key, bad
             odds = np.log((pos + 0.5) / (labels.sum() + 1)) - np.log((neg + 0.5) / (len(labels) - labels.sum() + 1))
             sure = odds * (pos + neg) / (pos + neg + 8)
             self.p[name][:, 0] = np.clip(sure, -2, 5) / 2
@@ -165,8 +182,14 @@ class BiGru:
         return signs
 
     def _all(self, index, word, chars):
-        projected = self.project(self.inputs(word, chars))
-        return np.concatenate([self.forward(index[a : a + 4096], projected)[0] for a in range(0, len(index), 4096)]) if len(index) else np.zeros(0)
+        out = [np.zeros(0)]
+        for a in range(0, len(index), 4096):
+            part = index[a : a + 4096]
+            used, local = np.unique(part[part >= 0], return_inverse=True)
+            at = np.full(part.shape, -1)
+            at[part >= 0] = local
+            out.append(self.forward(at, self.project(self.inputs(word[used], chars[used])))[0])
+        return np.concatenate(out)
 
     def _gradients(self, index, word, chars, y, pull=1.0):
         used, local = np.unique(index[index >= 0], return_inverse=True)
