@@ -20,9 +20,11 @@ from .common import Rolling, broadcast_value, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose encodings a worker keeps.
-KEPT_UNITS = 800_000
+KEPT_UNITS = 500_000
 KEPT_PAIRS = 1_000_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Bytes of new units whose suffixes are sorted at once.
+LEARN_BYTES = 384 << 10
 
 
 class Vocabulary:
@@ -129,8 +131,13 @@ class Encoder:
             if len(self.unit_key) + (~known).sum() > KEPT_UNITS:
                 self._forget()
                 known[:] = False
-            new = one[~known]
-            self._learn(uniq[~known], data, starts[new], ends[new])
+            new, keys_ = one[~known], uniq[~known]
+            upto = np.cumsum(ends[new] - starts[new])
+            a = 0
+            while a < len(new):  # so many bytes at a time that the edges stay small
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + LEARN_BYTES, "right")))
+                self._learn(keys_[a:b], data, starts[new[a:b]], ends[new[a:b]])
+                a = b
             found = np.searchsorted(self.unit_key, uniq)
         place, length = self.unit_at[found][back], self.unit_len[found][back]
         upto = np.concatenate(([0], np.cumsum(length)))
