@@ -1,5 +1,5 @@
 import pytest
-from compare import differences
+from tests.compare import differences
 
 from firegrid.plans.catalogue import ORACLES, QUERIES
 
