@@ -25,7 +25,7 @@ def ecdf(values: DataFrame, pool: DataFrame, value: str) -> DataFrame:
     """values with pct, the share of pool's values not above their own. Pooled counts by distinct value are ordered."""
     marks = values.select(value).distinct().withColumn("n", F.lit(0).cast("long")).unionByName(pool.groupBy(value).agg(F.count("*").alias("n"))).groupBy(value).agg(F.sum("n").alias("n"))
     w = Window.orderBy(value)  # distinct medians of polygons only
-    share = F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())
+    share = F.try_divide(F.sum("n").over(w), F.sum("n").over(Window.partitionBy()))  # an empty pool gives null
     return values.join(marks.select(value, share.alias("pct")), value)
 
 
