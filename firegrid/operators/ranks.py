@@ -44,6 +44,36 @@ def pair_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     return x.groupBy("a", "b", "na", "nb").agg(F.sum(u).alias("u"), F.max(gap).alias("ks")).select("a", "b", (2 * F.col("u") / (F.col("na") * F.col("nb")) - 1).alias("cliff_delta"), "ks")
 
 
+def dunn(df: DataFrame, group: str, value: str) -> DataFrame:
+    """a, b, z (tie-corrected) and two-sided p for each pair of groups a < b, unadjusted."""
+    ranked = average_ranks(df.select(group, value, F.lit(1).alias("one")), value, ["one"])
+    means = ranked.groupBy(group).agg(F.avg("rank").alias("m"), F.count("*").cast("double").alias("n"))  # a row a group
+    ties = df.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.sum("t").alias("all"))
+    a, b = means.toDF("a", "ma", "na"), means.toDF("b", "mb", "nb")
+    n = F.col("all")
+    spread = n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))
+    z = (F.col("ma") - F.col("mb")) / F.sqrt(spread * (1 / F.col("na") + 1 / F.col("nb")))
+    tails = F.pandas_udf(lambda zs: zs.map(normal_tail, na_action="ignore"), "double")  # Spark has no normal tail; k^2 rows
+    return a.join(b, F.col("a") < F.col("b")).crossJoin(ties).select("a", "b", z.alias("z")).withColumn("p", tails("z"))  # ties: one row
+
+
+def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Two-sided rank-sum test of each pair of groups a < b: z with continuity and tie correction, and p."""
+    counts = df.groupBy(group, value).agg(F.count("*").cast("double").alias("t"))
+    names = counts.select(group).distinct()
+    pairs = names.select(F.col(group).alias("a")).join(names.select(F.col(group).alias("b")), F.col("a") < F.col("b"))
+    both = pairs.join(counts, (F.col(group) == F.col("a")) | (F.col(group) == F.col("b"))).groupBy("a", "b", value).agg(F.sum("t").alias("t"))
+    sizes = counts.groupBy(group).agg(F.sum("t").alias("n"))
+    ties = both.groupBy("a", "b").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    x = pair_statistics(df, group, value).join(ties, ["a", "b"]).join(sizes.toDF("a", "n1"), "a").join(sizes.toDF("b", "n2"), "b")
+    n, prod = F.col("n1") + F.col("n2"), F.col("n1") * F.col("n2")
+    off = F.col("cliff_delta") * prod / 2
+    sigma = F.sqrt(prod / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.try_divide(off - F.signum(off) * 0.5, sigma)
+    tails = F.pandas_udf(lambda zs: zs.map(normal_tail, na_action="ignore"), "double")
+    return x.select("a", "b", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), z.alias("z"), "cliff_delta", "ks").withColumn("p", tails("z"))
+
+
 def holm(df: DataFrame, p: str, family: list[str]) -> DataFrame:
     w = Window.partitionBy(*family)
     order = w.orderBy(p)

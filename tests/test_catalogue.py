@@ -1,7 +1,7 @@
 import pytest
 from tests.compare import differences
 
-from firegrid.plans.catalogue import ORACLES, QUERIES
+from firegrid.plans.extended import ORACLES, QUERIES
 
 SLOW = {"components8", "components4", "grow_keep", "otsu_unit_threshold"}
 
