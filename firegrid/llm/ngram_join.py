@@ -2,11 +2,12 @@
 
 Texts with the same shingle set form a class. If 100 I >= pct U, the partners share a shingle among the
 n - ceil(pct n / 100) + 1 first ones of either set in any common order; rare ones come first, so these are the short
-inverted lists, and they alone are shuffled. In each list the least class is the pivot: every other member is searched
-with the pivot as the query. Lists with members that this leaves apart are looked at in tiles of bounded size: counts of
-shingles by parts of the hash space bound each overlap from above, and the few pairs left are searched; a tile with many
-is searched as a whole, where a query is spared if all that it could link is linked. A search merges the short lists of the query with a
-heap, and probes the long ones by bisection for what occurs often enough.
+inverted lists, and they alone are shuffled, once, sorted by shingle over ranges, so that a long list is cut between tasks.
+In each list the least class is the pivot: every other member is searched with the pivot as the query. Lists with members
+that this leaves apart are looked at in tiles of bounded size. Before texts move, counts of shingles by parts of the hash
+space, kept with the signature, bound each overlap from above, and only the pairs left are searched; a tile with many
+is searched as a whole, where a query is spared if all that it could link is linked. A search merges the short lists of the
+query with a heap, and probes the long ones by bisection for what occurs often enough.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ ORDER_ROWS = 1_000_000
 PIECE = 256
 #: Parts of the hash space in which shingles are counted to bound an overlap.
 CELLS = 256
+#: Most ids that are broadcast to pick texts (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +146,9 @@ def _frequent(docs: DataFrame, n: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, prefix): size and fingerprint of each set and its rarest shingles; prefix is null
-    for an empty set and where the task has seen the set before."""
+    """(doc_id, n_shingles, f1, f2, prefix, cells): size and fingerprint of each set, its rarest shingles, and how many of
+    its shingles fall into each of CELLS parts of the hash space. prefix and cells are null for an empty set and where
+    the task has seen the set before. The sum of the lesser counts of two sets is at least their overlap."""
     top = _frequent(docs, n).orderBy(F.desc("df"), "token").limit(ORDER_ROWS).toArrow()
     known = top.column("token").to_numpy().view(np.uint64)
     level = np.ceil(np.log2(top.column("df").to_numpy().astype(float) + 1)).astype(np.uint8)
@@ -153,6 +157,7 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
 
     def sign(batches):
         known, level = shared.value
+        z = zstandard.ZstdCompressor(level=1)
         seen: set[int] = set()
         for batch in batches:
             for own, data, at in text_chunks(batch):
@@ -179,9 +184,67 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 pick = nth < np.repeat(length, size)
                 ends = np.concatenate(([0], np.cumsum(length)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order][pick].view(np.int64)), mask=pa.array(~fresh))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], ["doc_id", "n_shingles", "f1", "f2", "prefix"])
+                flat = of * CELLS + (keys >> np.uint64(40)).astype(np.int64) % CELLS
+                counts = np.bincount(flat, minlength=len(size) * CELLS).astype(np.int32).reshape(-1, CELLS)
+                cells = pa.array([z.compress(c.tobytes()) if new else None for c, new in zip(counts, fresh.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, cells], ["doc_id", "n_shingles", "f1", "f2", "prefix", "cells"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, cells binary")
+
+
+def _lists(listed: DataFrame, held: Scratch) -> DataFrame:
+    """(token, cid, size, pivot, pivot_size, wide) of listed (token, cid, size), for shingles with several members. wide is
+    false where a list is known to have two members only.
+
+    Rows are sorted over ranges of (token, cid), so a list may be cut between tasks; each task names the least member it
+    sees, and a row for the first and last list of each task, two for a task, puts the cut ones right.
+    """
+
+    def walk(batches):
+        first, last, wait = None, None, [np.zeros(0, np.int64)] * 3
+
+        def rows(token, cid, size, pivot, pivot_size, wide, edge):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, cid, size, pivot, pivot_size, wide, np.full(len(token), edge))], ["token", "cid", "size", "pivot", "pivot_size", "wide", "edge"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>")
+        for batch in batches:
+            token, cid, size = (np.concatenate((w, c.to_numpy())) for w, c in zip(wait, batch.columns, strict=True))
+            if not len(token):
+                continue
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            new[0] = last is None or token[0] != last[0]
+            group = np.cumsum(new)  # 0: goes on from the batch before
+            starts = np.flatnonzero(new)
+            pivot = np.concatenate(([last[1] if last else 0], cid[starts]))[group]
+            pivot_size = np.concatenate(([last[2] if last else 0], size[starts]))[group]
+            if first is None:
+                first = (token[0], cid[0], size[0])
+            length = np.bincount(group)[group]
+            single = (length == 1) & (group > 0)
+            wide = (length > 2) | (group == 0) | (group == group[-1]) | (token == first[0])
+            wait = [x[-1:] if single[-1] else x[:0] for x in (token, cid, size)]
+            end = len(token) - len(wait[0])
+            if end:
+                last = (token[end - 1], pivot[end - 1], pivot_size[end - 1])
+            keep = np.flatnonzero(~single[:end] | (token[:end] == first[0]))
+            yield rows(token[keep], cid[keep], size[keep], pivot[keep], pivot_size[keep], wide[keep], False)
+        if len(wait[0]):
+            token, cid, size = wait
+            yield rows(token, cid, size, cid, size, np.ones(1, bool), False)
+            last = (token[0], cid[0], size[0])
+        if first is not None:
+            token, cid, size = (np.array(x, np.int64) for x in zip(first, last, strict=True))
+            yield rows(token, cid, size, cid, size, np.ones(2, bool), True)
+
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.repartitionByRange(parts, "token", "cid").sortWithinPartitions("token", "cid")
+    found = held.stored(dealt.select("token", "cid", "size").mapInArrow(walk, "token long, cid long, size long, pivot long, pivot_size long, wide boolean, edge boolean"), "lists")
+    least = F.min(F.struct("pivot", "pivot_size"))
+    cut = found.where("edge").groupBy("token").agg(least.alias("least"), F.countDistinct("pivot").alias("k")).where("k > 1")
+    cut = F.broadcast(cut.select("token", "least"))  # at most two rows for each of the tasks
+    return found.where("not edge").join(cut, "token", "left").select(
+        "token", "cid", "size", F.coalesce("least.pivot", "pivot").alias("pivot"), F.coalesce("least.pivot_size", "pivot_size").alias("pivot_size"), "wide"
+    )
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -291,30 +354,47 @@ def _tile_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
     return dealt.select("bucket", "i", "j", "side", "cid", "comp", "packed").mapInArrow(search, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
-    """The links among pairs (pivot, cid): members of a pivot are searched in pieces, with the pivot as the query."""
+def _asked(pairs: DataFrame) -> DataFrame:
+    """(pivot, salt, cid): members of a pivot in pieces, each with the pivot itself."""
     width = pairs.groupBy("pivot").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / PIECE).cast("int"))
     asked = pairs.join(width, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int")).select("pivot", "salt", "cid")
-    own = width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid"))
-    return _pivot_links(asked.unionByName(own).join(texts, "cid"), n, pct)
+    return asked.unionByName(width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid")))
 
 
-def _cells(texts: DataFrame, n: int) -> DataFrame:
-    """(cid, size, cells): how many of a set's shingles fall into each of CELLS parts of the hash space. The sum of the
-    lesser counts of two sets is at least their overlap."""
+def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int) -> DataFrame:
+    """The pairs (pivot, cid) that the bound on their overlap leaves open. bounds: (cid, size, cells)."""
 
-    def count(batches):
-        z = zstandard.ZstdDecompressor()
+    def search(batches):
+        group, size, cells = None, 0, None
         for batch in batches:
-            ids, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), 128):
-                lists = Lists([z.decompress(x) for x in packed[a : a + 128]], n)
-                k = len(lists.sizes)
-                flat = np.repeat(np.arange(k), lists.sizes) * CELLS + (lists.keys >> np.uint64(40)).astype(np.int64) % CELLS
-                cells = np.bincount(flat, minlength=k * CELLS).astype(np.int32).reshape(k, CELLS)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 128], pa.int64()), pa.array(lists.sizes, pa.int64()), pa.array([zstandard.compress(c.tobytes(), 1) for c in cells], pa.binary())], ["cid", "size", "cells"])
+            out = []
+            for pivot, salt, cid, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(zstandard.decompress(packed), np.int32)
+                if (pivot, salt) != group:
+                    group, size, cells = (pivot, salt), n, own
+                elif np.minimum(own, cells).sum() >= required(size, n, pct):
+                    out.append((pivot, cid))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["pivot", "cid"])
 
-    return texts.select("cid", "packed").mapInArrow(count, "cid long, size long, cells binary")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _asked(pairs).join(bounds, "cid").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
+    return dealt.select("pivot", "salt", "cid", "size", "cells").mapInArrow(search, "pivot long, cid long")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, held: Scratch) -> DataFrame:
+    """(cid, packed) of the documents in ids (cid), one for each id. Few ids are broadcast; many are joined."""
+    ids = held.stored(ids.distinct(), "asked")
+    if ids.count() <= BROADCAST_IDS:
+        found = _packed(docs.join(F.broadcast(ids.withColumnRenamed("cid", "doc_id")), "doc_id", "left_semi"))
+    else:
+        found = _packed(docs).join(ids, "cid", "left_semi")
+    return held.stored(found.dropDuplicates(["cid"]), "packed")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, held: Scratch, n: int, pct: int) -> DataFrame:
+    """The links among pairs (pivot, cid): members of a pivot are searched in pieces, with the pivot as the query."""
+    texts = _texts(docs, pairs.select("cid").union(pairs.select("pivot")), held)
+    return held.stored(_pivot_links(_asked(pairs).join(texts, "cid"), n, pct), "links")
 
 
 def tile_pairs(comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, cells: np.ndarray, pct: int) -> list[tuple[int, int]] | None:
@@ -381,22 +461,20 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     held = Scratch(docs.sparkSession)
     found = held.stored(signatures(docs, n, pct), "signatures")
     real = found.where("n_shingles > 0")
-    classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("prefix", True).alias("prefix")), "classes")
-    sizes = classes.select("cid", F.col("n_shingles").alias("size"))
-    listed = classes.select(F.explode("prefix").alias("token"), "cid")
+    rest = (F.first("prefix", True).alias("prefix"), F.first("cells", True).alias("cells"))
+    classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), *rest), "classes")
+    bounds = classes.select("cid", F.col("n_shingles").alias("size"), "cells")
     # lists of two members and more, each with its pivot
-    pivots = listed.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("token", "pivot")
-    members = held.stored(listed.join(pivots, "token"), "lists")
-    pairs = members.where("cid <> pivot").select("pivot", "cid").distinct().join(sizes, "cid").join(sizes.select(F.col("cid").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
-    pairs = held.stored(pairs.where(f"100 * least(size, pivot_size) >= {pct} * greatest(size, pivot_size)").select("pivot", "cid"), "pairs")
-    texts = held.stored(_packed(docs).join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "packed")
-    links = held.stored(_verified(pairs, texts, n, pct), "links")
+    members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held)
+    near = members.where("cid <> pivot").where(f"100 * least(size, pivot_size) >= {pct} * greatest(size, pivot_size)")
+    pairs = held.stored(near.select("pivot", "cid").distinct(), "pairs")
+    links = _verified(held.stored(_open_pairs(pairs, bounds, pct), "open"), docs, held, n, pct)
     parts = components(links)
     # lists that hold members apart from each other, neither of them the pivot: searched in tiles
-    placed = members.where("cid <> pivot").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    placed = members.where("wide and cid <> pivot").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     # partners differ in size by little, so a list falls into bands of size; a member is in its own and in the next
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / pct)) + 1e-9)
-    placed = held.stored(placed.join(sizes, "cid").withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "cid", "comp"), "placed")
+    placed = held.stored(placed.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "cid", "comp"), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(5), "cid"), 24)).alias("x2")).where("a <> b")
     once = apart.groupBy("k", "x1", "x2").agg(F.min("token").alias("token")).select("token", F.greatest(F.lit(1), F.ceil(F.col("k") / PIECE)).cast("int").alias("cuts"))
     tiled = placed.join(once, "token").withColumn("c", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("cuts")).cast("int"))
@@ -404,12 +482,12 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
         F.col("token").alias("bucket"), F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "cid", "comp"
     )
     tiled = held.stored(tiled.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("c") == F.col("i"), 0).otherwise(1))).drop("c"), "tiles")
-    bounds = _cells(texts.join(tiled.select("cid").distinct(), "cid", "left_semi"), n)
     doubts = held.stored(_bounded_pairs(tiled.join(bounds, "cid"), pct), "doubts")
-    more = _verified(doubts.where("a is not null").select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("cid")).distinct(), texts, n, pct)
+    more = _verified(doubts.where("a is not null").select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("cid")).distinct(), docs, held, n, pct)
     dense = doubts.where("a is null").select("bucket", "i", "j")
     if not dense.isEmpty():
-        more = more.unionByName(_tile_links(tiled.join(dense, ["bucket", "i", "j"]).join(texts, "cid"), n, pct))
+        dense = held.stored(tiled.join(dense, ["bucket", "i", "j"]), "dense")
+        more = more.unionByName(_tile_links(dense.join(_texts(docs, dense.select("cid"), held), "cid"), n, pct))
     parts = components(links.unionByName(more))
     own_class = real.join(classes.select("f1", "f2", "n_shingles", "cid"), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "cid")
     whole = own_class.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("cid")))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from firegrid.llm import components, decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc
+from firegrid.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -212,3 +213,15 @@ def test_empty_tables(spark):
         warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
         assert got.count() == 0
+
+
+def test_lists_cut_between_tasks_keep_one_pivot(spark):
+    rows = [(t, c, 10 + c % 7) for t, k in ((1, 1), (2, 2), (3, 900), (4, 3), (5, 1), (6, 2)) for c in range(5 * t, 5 * t + k)]
+    held = Scratch(spark)
+    got = ngram_join._lists(spark.createDataFrame(rows, "token long, cid long, size long"), held).collect()
+    real = {(r.token, r.cid, r.size) for r in got}
+    assert len(got) == len(real) and real >= {x for x in rows if x[0] in (2, 3, 4, 6)}
+    for r in got:
+        assert (r.pivot, r.pivot_size) == (5 * r.token, 10 + 5 * r.token % 7)
+        assert r.wide or r.token in (2, 5, 6, 1)
+    held.clear()
