@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Allocations of this size and more come from the system one by one, so that freeing them gives them back.
+MAPPED_BYTES = 4 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -61,6 +65,24 @@ class Scratch:
         self.paths = []
 
 
+def tidy(run):
+    """run (for mapInArrow) in a worker that gives memory back: Spark keeps workers for later tasks, and an executor's
+    limit holds for all of them together."""
+
+    def inner(batches):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; left alone, it grows with what is freed
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return inner
+
+
 def remainder(modulus: int, doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus))

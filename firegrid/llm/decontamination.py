@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, broadcast_value, grams, text_chunks, word_spans
+from .common import LOWER, Rolling, broadcast_value, grams, text_chunks, tidy, word_spans
 
 K1, B = 1.2, 0.75
 BLOCK, SHARD = 16, 256
@@ -166,7 +166,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5,
                         [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], ["doc_id", "item_id", "question_overlap", "answer_overlap", "score"]
                     )
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "doc_id long, item_id long, question_overlap double, answer_overlap double, score double")
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(search), "doc_id long, item_id long, question_overlap double, answer_overlap double, score double")
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, question_overlap double, answer_overlap double, score double") if out is None else out
 
@@ -182,5 +182,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5,
                     hit = {r for r, _ in search_chunk(shards, longest, data, at, least, least_question, least_answer)}
                     yield own if not hit else own.filter(pa.array([i not in hit for i in range(own.num_rows)]))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(tidy(clean), docs.schema)
     return docs

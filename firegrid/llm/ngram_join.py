@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, stored, text_chunks, word_spans
+from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, stored, text_chunks, tidy, word_spans
 from .components import components
 
 #: A shingle seen this often within one step of the scan is counted for the order of shingles.
@@ -142,7 +142,7 @@ def _frequent(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    return docs.select("doc_id", "text").mapInArrow(tidy(count), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 cells = pa.array([z.compress(c.tobytes()) if new else None for c, new in zip(counts, fresh.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, cells], ["doc_id", "n_shingles", "f1", "f2", "prefix", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, cells binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(sign), "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, cells binary")
 
 
 def _lists(listed: DataFrame, held: Scratch) -> DataFrame:
@@ -238,7 +238,7 @@ def _lists(listed: DataFrame, held: Scratch) -> DataFrame:
 
     parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = listed.repartitionByRange(parts, "token", "cid").sortWithinPartitions("token", "cid")
-    found = held.stored(dealt.select("token", "cid", "size").mapInArrow(walk, "token long, cid long, size long, pivot long, pivot_size long, wide boolean, edge boolean"), "lists")
+    found = held.stored(dealt.select("token", "cid", "size").mapInArrow(tidy(walk), "token long, cid long, size long, pivot long, pivot_size long, wide boolean, edge boolean"), "lists")
     least = F.min(F.struct("pivot", "pivot_size"))
     cut = found.where("edge").groupBy("token").agg(least.alias("least"), F.countDistinct("pivot").alias("k")).where("k > 1")
     cut = F.broadcast(cut.select("token", "least"))  # at most two rows for each of the tasks
@@ -257,7 +257,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([z.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["cid", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "cid long, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(pack), "cid long, packed binary")
 
 
 def _pivot_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
@@ -295,7 +295,7 @@ def _pivot_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
-    return dealt.select("pivot", "salt", "cid", "packed").mapInArrow(search, "a long, b long")
+    return dealt.select("pivot", "salt", "cid", "packed").mapInArrow(tidy(search), "a long, b long")
 
 
 def tile_links(ids: list[int], comps: list[int], sides: list[int], texts: list[bytes], n: int, pct: int) -> list[tuple[int, int]]:
@@ -351,7 +351,7 @@ def _tile_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    return dealt.select("bucket", "i", "j", "side", "cid", "comp", "packed").mapInArrow(search, "a long, b long")
+    return dealt.select("bucket", "i", "j", "side", "cid", "comp", "packed").mapInArrow(tidy(search), "a long, b long")
 
 
 def _asked(pairs: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int) -> DataFrame:
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _asked(pairs).join(bounds, "cid").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
-    return dealt.select("pivot", "salt", "cid", "size", "cells").mapInArrow(search, "pivot long, cid long")
+    return dealt.select("pivot", "salt", "cid", "size", "cells").mapInArrow(tidy(search), "pivot long, cid long")
 
 
 def _texts(docs: DataFrame, ids: DataFrame, held: Scratch) -> DataFrame:
@@ -447,7 +447,7 @@ def _bounded_pairs(rows: DataFrame, pct: int) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
-    return dealt.select("bucket", "i", "j", "side", "cid", "comp", "size", "cells").mapInArrow(search, "a long, b long, bucket long, i int, j int")
+    return dealt.select("bucket", "i", "j", "side", "cid", "comp", "size", "cells").mapInArrow(tidy(search), "a long, b long, bucket long, i int, j int")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, broadcast_value, sample_by_hash, text_chunks, word_spans
+from .common import Rolling, broadcast_value, sample_by_hash, text_chunks, tidy, word_spans
 
 #: Most labelled rows to fit on; the sample is what has the smallest hashes of doc_id.
 FIT_ROWS = 3000
@@ -158,7 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thre
             for own, data, at in text_chunks(batch):
                 yield own.filter(pa.array(model.value.score(data, at) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
@@ -176,4 +176,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
                 p = model.value.score(data, at)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(p), pa.array(p >= threshold).cast(pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(predict), "doc_id long, score double, predicted int")

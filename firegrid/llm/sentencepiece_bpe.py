@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, broadcast_value, text_chunks
+from .common import Rolling, broadcast_value, text_chunks, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -369,4 +369,4 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
                     text = pa.array([None if x else t for x, t in zip(null, text.to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([own.column(0), lists, text, pa.array(same, pa.bool_())], ["doc_id", "ids", "decoded", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string, round_trip boolean")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, broadcast_value, stored, text_buffers, text_chunks
+from .common import Rolling, Scratch, broadcast_value, stored, text_buffers, text_chunks, tidy
 
 GRAM = 16
 #: Bytes of text whose anchors a task gathers before it sends them on.
@@ -152,7 +152,7 @@ def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
         lists = [short[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(own)], strict=True)] if len(own) else []
         return pa.table({"f1": pa.array(own[cut], pa.int64()), "marks": pa.array(lists, pa.binary())})
 
-    sent = docs.mapInArrow(gather, "bucket int, known boolean, owners binary, marks binary")
+    sent = docs.mapInArrow(tidy(gather), "bucket int, known boolean, owners binary, marks binary")
     # what a task knows already needs no meeting: salted, so that a common string's owners don't pile up
     dealt = sent.withColumn("salt", F.when(F.col("known"), F.pmod(F.xxhash64("owners"), F.lit(buckets))).otherwise(F.lit(0)))
     met = dealt.groupBy("bucket", "salt", "known").applyInArrow(meet, "f1 long, marks binary")
@@ -219,7 +219,7 @@ def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray) -> DataFr
                     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "lead", "f1", "cid", "first", "around"])
 
-    return texts.select("f1", "cid", "packed", "marks").mapInArrow(cut, "part int, lead long, f1 long, cid long, first long, around binary")
+    return texts.select("f1", "cid", "packed", "marks").mapInArrow(tidy(cut), "part int, lead long, f1 long, cid long, first long, around binary")
 
 
 def _pieces(at: np.ndarray):
@@ -316,7 +316,7 @@ def _spans(around: DataFrame, least: int, parts: int) -> DataFrame:
             yield work(pa.Table.from_batches(held))
 
     ranged = around.repartition(parts, "part").sortWithinPartitions("lead")
-    return ranged.select("lead", "f1", "cid", "first", "around").mapInArrow(sort, "f1 long, start long, stop long")
+    return ranged.select("lead", "f1", "cid", "first", "around").mapInArrow(tidy(sort), "f1 long, start long, stop long")
 
 
 def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,7 +341,7 @@ def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(packed, pa.binary())], ["f1", "packed"])
 
     # one query from here on, so that the texts, needed twice, are shuffled by fingerprint once
-    packed = long_enough.select("f1", "text").mapInArrow(pack, "f1 long, packed binary")
+    packed = long_enough.select("f1", "text").mapInArrow(tidy(pack), "f1 long, packed binary")
     parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     around = _surroundings(packed.join(again.hint("merge"), "f1"), least, _splitters(long_enough, least, parts))
     spans = _spans(around, least, parts).groupBy("f1").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
@@ -385,7 +385,7 @@ def suffix_dedup(docs: DataFrame, least: int = 50) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], ["f1", "gone", "kept", "ranges"])
 
-    cut = packed.join(spans.hint("merge"), "f1").select("f1", "packed", "starts", "ends").mapInArrow(apply, "f1 long, gone long, kept string, ranges array<struct<start:long,end:long>>").dropDuplicates(["f1"])
+    cut = packed.join(spans.hint("merge"), "f1").select("f1", "packed", "starts", "ends").mapInArrow(tidy(apply), "f1 long, gone long, kept string, ranges array<struct<start:long,end:long>>").dropDuplicates(["f1"])
     copy = (F.col("doc_id") > F.col("cid")) & (F.col("n_bytes") >= least)
     own = (F.col("doc_id") == F.col("cid")) & F.col("gone").isNotNull()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
@@ -424,4 +424,4 @@ def strip_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return joined.select(*[docs[c] for c in columns], "removed").mapInArrow(strip, docs.schema)
+    return joined.select(*[docs[c] for c in columns], "removed").mapInArrow(tidy(strip), docs.schema)
