@@ -24,9 +24,9 @@ GRAM = 16
 #: Bytes of text whose anchors a task gathers before it sends them on.
 FLUSH_BYTES = 24 << 20
 #: Bytes of one text that are looked at in one step; steps overlap, and every suffix is in one.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 #: Bytes of surroundings whose suffixes are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 #: Surroundings a task remembers, to send equal ones of larger documents no further.
 KNOWN = 300_000
 _LOW = np.uint64((1 << 23) - 1)
