@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firegrid.llm import components as linked
+
 CELL = ["r", "c"]
 
 
@@ -92,7 +94,7 @@ def otsu(cells: DataFrame, window: int = 5) -> DataFrame:
 
 def components(cells: DataFrame, diagonal: bool = True, most_rounds: int = 200) -> DataFrame:
     """(r, c, label): label is the least r * 2^31 + c of the patch. Rows are cut into runs; runs that touch are linked;
-    labels spread with pointer jumping until none changes. Each round is written to the checkpoint folder."""
+    patches are the components of the links, in about log(runs) rounds. Links that don't settle in most_rounds raise."""
     spark = cells.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
@@ -105,15 +107,6 @@ def components(cells: DataFrame, diagonal: bool = True, most_rounds: int = 200)
     reach = 1 if diagonal else 0
     # a run and each column it reaches in the next row: an equi-join on cells, not a range join
     reached = runs.select("run", (F.col("r") + 1).alias("r"), F.explode(F.sequence(F.col("a") - reach, F.col("b") + reach)).alias("c"))
-    links = reached.join(tagged.select("r", "c", F.col("run").alias("to")), CELL).select("run", "to").distinct()
-    edges = links.unionByName(links.select(F.col("to").alias("run"), F.col("run").alias("to"))).checkpoint()
-    labels = runs.select("run", F.col("run").alias("label")).checkpoint()
-    for _ in range(most_rounds):
-        least = edges.join(labels.select(F.col("run").alias("to"), "label"), "to").groupBy("run").agg(F.min("label").alias("m"))
-        stepped = labels.join(least, "run", "left").select("run", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jumped = stepped.join(labels.select(F.col("run").alias("label"), F.col("label").alias("up")), "label", "left")
-        after = jumped.select("run", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
-        if after.where("label <> old").isEmpty():
-            break
-        labels = after.select("run", "label")
-    return tagged.join(labels, "run").select("r", "c", "label")
+    links = reached.join(tagged.select("r", "c", F.col("run").alias("to")), CELL).select(F.col("run").alias("a"), F.col("to").alias("b"))
+    labels = linked.components(links, most_rounds).select(F.col("id").alias("run"), F.col("component").alias("label"))
+    return tagged.join(labels, "run", "left").select("r", "c", F.coalesce("label", "run").alias("label"))

@@ -15,6 +15,19 @@ def test_corner_touch_is_one_patch_of_eight_and_two_of_four(spark):
     assert raster.components(grid, diagonal=False).select("label").distinct().count() == 2
 
 
+def test_two_long_prongs_are_one_patch(spark):
+    u = [(r, c) for r in range(400) for c in (0, 2)] + [(400, c) for c in range(3)]
+    grid = spark.createDataFrame([*u, (500, 7)], "r int, c int")
+    for diagonal in (True, False):
+        assert {(r.r, r.c): r.label for r in raster.components(grid, diagonal=diagonal).collect()} == {**dict.fromkeys(u, 0), (500, 7): (500 << 31) + 7}
+
+
+def test_links_that_do_not_settle_raise(spark):
+    grid = spark.createDataFrame([(r, 0) for r in range(50)], "r int, c int")
+    with pytest.raises(RuntimeError, match="settle"):
+        raster.components(grid, most_rounds=1)
+
+
 def test_square_of_one_hectare(spark):
     one = zonal.rectangle_shape(spark.createDataFrame([(0, 0, 1)], "r int, c int, fid int"), 100.0).first()
     assert (one.area_ha, one.perimeter_m, one.elong, one.rect_fill) == (1, 400, 1, 1)
