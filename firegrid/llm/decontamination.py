@@ -3,7 +3,8 @@
 Impacts are shares of an item's score against itself, so one threshold fits all items. Passages are overlapping windows
 of words that cover every text. A passage is given up as soon as an upper bound falls below the threshold: first that of
 the whole index, then block by block that of the block's largest impacts; what is left is scored in full. What reaches
-the threshold is verified by the overlap of the item's question and of its answer with the passage.
+the threshold is verified by the overlap of the item's question and of its answer with the passage. Where no answer is
+marked, the last sentence is only a guess at one, so a passage also counts if it has WHOLE of the whole item's n-grams.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ K1, B = 1.2, 0.75
 BLOCK, SHARD = 16, 256
 #: Items up to this many are held in one broadcast; more are searched in several passes over the texts.
 ITEMS_PER_PASS = 20_000
+#: The share of an item without a marked answer that is enough, whatever its last sentence.
+WHOLE = 0.8
+MARKED = re.compile(r"(?im)^\s*(?:a|answer)\s*:")
 TRIM = np.zeros(256, bool)
 TRIM[list(b".,;:!?\"'()[]|")] = True
 
@@ -42,12 +46,21 @@ def _text_tokens(text: str) -> np.ndarray:
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """Splits an item: at a line that starts with `A:` or `Answer:`, else before its last sentence, else no answer."""
-    if m := re.search(r"(?im)^\s*(?:a|answer)\s*:", text):
+    if m := MARKED.search(text):
         return text[: m.start()], text[m.end() :]
     parts = [x for x in re.split(r"(?<=[.?!])\s+", text.strip()) if x]
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+def _grams_of(words: np.ndarray) -> tuple[int, np.ndarray]:
+    n = min(3, max(1, len(words)))
+    return n, np.unique(grams(words, np.zeros(len(words), int), n)[0])
+
+
+def _has_whole(whole: tuple[int, np.ndarray] | None, passage: np.ndarray) -> bool:
+    return whole is not None and float(np.isin(whole[1], grams(passage, np.zeros(len(passage), int), whole[0])[0]).mean()) >= WHOLE
+
+
 class Shard:
     """The index of up to SHARD items: terms, impacts, block maxima and what verification needs."""
 
@@ -64,10 +77,9 @@ class Shard:
         self.block_max = self.impact.reshape(len(self.impact), -1, BLOCK).max(2)
         self.top = self.block_max.max(1)
         self.parts = []
-        for _, t in items:
+        for (_, t), w in zip(items, words, strict=True):
             q, a = (_text_tokens(x) for x in question_and_answer(t))
-            n = min(3, max(1, len(q)))
-            self.parts.append((n, np.unique(grams(q, np.zeros(len(q), int), n)[0]), np.unique(a)))
+            self.parts.append((*_grams_of(q), np.unique(a), None if MARKED.search(t) else _grams_of(w)))
 
 
 def build_index(items: list[tuple[int, str]]) -> tuple[list[Shard], int]:
@@ -124,11 +136,11 @@ def search_chunk(shards: list[Shard], longest: int, data, at, least: float, leas
                 score = shard.impact[:, b * BLOCK : (b + 1) * BLOCK][q[hot]].sum(1)
                 for i, k in zip(*np.nonzero(score >= least), strict=True):
                     item, row, passage = b * BLOCK + k, int(of[w[hot[i]]]), h[start[w[hot[i]]] : end[w[hot[i]]]]
-                    n, question, answer = shard.parts[item]
+                    n, question, answer, whole = shard.parts[item]
                     own = grams(passage, np.zeros(len(passage), int), n)[0]
                     over_q = float(np.isin(question, own).mean()) if len(question) else 1.0
                     over_a = float(np.isin(answer, passage).mean()) if len(answer) else 1.0
-                    if over_q >= least_question and over_a >= least_answer:
+                    if (over_q >= least_question and over_a >= least_answer) or _has_whole(whole, passage):
                         key = (row, int(shard.ids[item]))
                         best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (over_q, over_a, float(score[i, k])))
     return best
@@ -149,7 +161,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5,
     """(doc_id, item_id, question_overlap, answer_overlap, score): documents that hold an item of benchmark
     (item_id, text), the best passage of each pair. Documents without a match have no row.
 
-    Null and empty texts and items match nothing; rows that repeat a doc_id are searched each; items that share an
+    An item without a marked answer also matches by WHOLE of its n-grams; its answer_overlap may then be below
+    least_answer. Null and empty texts and items match nothing; rows that repeat a doc_id are searched each; items that share an
     item_id count as one if their texts are equal. Other columns are ignored. No shuffle of the texts.
     """
     out = None

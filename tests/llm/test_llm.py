@@ -165,6 +165,16 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [11, 12, 13]
 
 
+def test_decontamination_of_items_without_marked_answer(spark):
+    body = " ".join(f"b{i}" for i in range(30))
+    items = spark.createDataFrame([(1, f"{body}. Zorblax."), (2, f"Q: {body.replace('b', 'c')}?\nA: Zorblax")], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(200))
+    texts = [f"{filler} {body}. Other. {filler}", f"{filler} {body} {filler}", f"{filler} {body.replace('b', 'c')}? other {filler}", " ".join(body.split()[:18]) + ". Other."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find_contaminated(docs, items).collect()) == [(0, 1), (1, 1)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [2, 3]
+
+
 def test_sentencepiece_equals_library(docs):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
