@@ -61,10 +61,39 @@ def _has_whole(whole: tuple[int, np.ndarray] | None, passage: np.ndarray) -> boo
     return whole is not None and float(np.isin(whole[1], grams(passage, np.zeros(len(passage), int), whole[0])[0]).mean()) >= WHOLE
 
 
+class Statistics:
+    """What scores take from all items, whatever pass an item is in: document frequencies, mean and greatest length."""
+
+    def __init__(self):
+        self.n = self.words = self.longest = 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        found = [w for w in map(_text_tokens, texts) if len(w)]
+        if not found:
+            return
+        self.n += len(found)
+        self.words += sum(map(len, found))
+        self.longest = max(self.longest, *map(len, found))
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in found]), return_counts=True)
+        every, at = np.unique(np.concatenate((self.terms, terms)), return_inverse=True)
+        count = np.zeros(len(every), np.int64)
+        np.add.at(count, at, np.concatenate((self.df, df)))
+        self.terms, self.df = every, count
+
+    @property
+    def mean(self) -> float:
+        return self.words / self.n if self.n else 1.0
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.terms, terms)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
 class Shard:
     """The index of up to SHARD items: terms, impacts, block maxima and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: dict[int, float], mean: float):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics):
         self.ids = np.array([i for i, _ in items], np.int64)
         words = [_text_tokens(t) for _, t in items]
         self.terms = np.unique(np.concatenate(words)) if items else np.zeros(0, np.uint64)
@@ -72,7 +101,7 @@ class Shard:
         self.impact = np.zeros((len(self.terms) + 1, wide), np.float32)
         for k, w in enumerate(words):
             own, tf = np.unique(w, return_counts=True)
-            raw = np.array([idf[int(t)] for t in own]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+            raw = whole.idf(own) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / whole.mean))
             self.impact[np.searchsorted(self.terms, own), k] = raw / raw.sum()
         self.block_max = self.impact.reshape(len(self.impact), -1, BLOCK).max(2)
         self.top = self.block_max.max(1)
@@ -82,19 +111,10 @@ class Shard:
             self.parts.append((*_grams_of(q), np.unique(a), None if MARKED.search(t) else _grams_of(w)))
 
 
-def build_index(items: list[tuple[int, str]]) -> tuple[list[Shard], int]:
-    """Shards and the number of words of the longest item; items without words can't be found and are left out."""
+def build_index(items: list[tuple[int, str]], whole: Statistics) -> tuple[list[Shard], int]:
+    """Shards and the number of words of the longest item of all; items without words can't be found and are left out."""
     items = [(i, t) for i, t in sorted(items) if len(_text_tokens(t))]
-    df: dict[int, int] = {}
-    sizes = []
-    for _, t in items:
-        w = _text_tokens(t)
-        sizes.append(len(w))
-        for x in np.unique(w).tolist():
-            df[x] = df.get(x, 0) + 1
-    idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
-    mean = sum(sizes) / len(sizes) if sizes else 1.0
-    return [Shard(items[a : a + SHARD], idf, mean) for a in range(0, len(items), SHARD)], max(sizes, default=0)
+    return [Shard(items[a : a + SHARD], whole) for a in range(0, len(items), SHARD)], whole.longest
 
 
 def search_chunk(shards: list[Shard], longest: int, data, at, least: float, least_question: float, least_answer: float):
@@ -147,14 +167,22 @@ def search_chunk(shards: list[Shard], longest: int, data, at, least: float, leas
 
 
 def _passes(benchmark: DataFrame):
-    """The index in broadcasts of bounded size, one for each pass."""
+    """The index in broadcasts of bounded size, one for each pass; statistics are those of all items in every pass."""
     spark = benchmark.sparkSession
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     n = rows.count()
     passes = -(-n // ITEMS_PER_PASS)
+
+    def part(k: int) -> list[tuple[int, str]]:
+        own = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        return [(r.item_id, r.text) for r in own.collect()]
+
+    whole = Statistics()
+    held = part(0) if passes == 1 else None
+    for k in range(passes):
+        whole.add([t for _, t in (held or part(k))])
     for k in range(passes):
-        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        yield broadcast_value(spark, build_index([(r.item_id, r.text) for r in part.collect()]))
+        yield broadcast_value(spark, build_index(held or part(k), whole))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, least_question: float = 0.5, least_answer: float = 0.5) -> DataFrame:

@@ -175,6 +175,24 @@ def test_decontamination_of_items_without_marked_answer(spark):
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [2, 3]
 
 
+def test_decontamination_does_not_depend_on_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"t{x}" for x in rng.zipf(1.4, int(rng.integers(8, 90))) % 60) for _ in range(40)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, " ".join(f"f{k}" for k in range(100)) + " " + " ".join(w for w in t.split() if rng.random() < 0.8)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        return {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap, r.score) for r in decontamination.find_contaminated(docs, items).collect()}
+
+    once = found()
+    monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 7)
+    several = found()
+    assert once
+    assert several.keys() == once.keys()
+    assert all(several[k] == pytest.approx(once[k], abs=1e-5) for k in once)
+
+
 def test_sentencepiece_equals_library(docs):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
