@@ -1,5 +1,6 @@
-"""Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND for every passage.
+"""Benchmark decontamination: BM25 impacts of test items in dense blocks, bounded by block maxima for every passage.
 
+There are no posting lists or pivots as in block-max WAND; the same block maxima are summed for many passages at once.
 Impacts are shares of an item's score against itself, so one threshold fits all items. Passages are overlapping windows
 of words that cover every text. A passage is given up as soon as an upper bound falls below the threshold: first that of
 the whole index, then block by block that of the block's largest impacts; what is left is scored in full. What reaches
