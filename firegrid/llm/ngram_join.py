@@ -456,13 +456,14 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
 
     A text with fewer than n words has all of them as its one shingle. Null texts and texts without a word have the empty
     set and link with nothing. Rows that share a doc_id are one node; ties and repeated rows link like any equal sets.
-    component_id is the least doc_id that can be reached. Other columns are ignored.
+    component_id is the least doc_id that can be reached. A row with a null doc_id links with nothing and has a null
+    component_id. Other columns are ignored.
     """
     held = Scratch(docs.sparkSession)
     found = held.stored(signatures(docs, n, pct), "signatures")
     real = found.where("n_shingles > 0")
     rest = (F.first("prefix", True).alias("prefix"), F.first("cells", True).alias("cells"))
-    classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), *rest), "classes")
+    classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), *rest).where("cid is not null"), "classes")
     bounds = classes.select("cid", F.col("n_shingles").alias("size"), "cells")
     # lists of two members and more, each with its pivot
     members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held)
@@ -489,14 +490,15 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
         dense = held.stored(tiled.join(dense, ["bucket", "i", "j"]), "dense")
         more = more.unionByName(_tile_links(dense.join(_texts(docs, dense.select("cid"), held), "cid"), n, pct))
     parts = components(links.unionByName(more))
-    own_class = real.join(classes.select("f1", "f2", "n_shingles", "cid"), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "cid")
-    whole = own_class.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("cid")))
+    own_class = real.where("doc_id is not null").join(classes.select("f1", "f2", "n_shingles", "cid"), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "cid")
+    whole = own_class.unionByName(found.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("cid")))
     out = stored(whole.join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id")), "ngram-join")
     held.clear()
     return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is its component's least; all columns. Of rows with one doc_id all stay."""
+    """The rows of docs whose doc_id is its component's least; all columns. Of rows with one doc_id all stay, and so
+    do rows with a null doc_id, which are in no component."""
     kept = ngram_join(docs.where("doc_id is not null"), n, pct).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -323,9 +323,9 @@ def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFram
     """(marks, spans, packed). marks: (doc_id, n_bytes, f1, f2, whole, cid) of each row; spans: (f1, starts, ends), removed
     ranges of each text when its least document asks, unmerged; packed: (f1, packed) of texts, copies included."""
     fingered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"f1": F.xxhash64(F.lit(1), "text"), "f2": F.xxhash64(F.lit(2), "text")})
-    long_enough = fingered.where(F.octet_length("text") >= least)
+    long_enough = fingered.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
     marks = held.stored(fingered.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "f1", "f2", F.sha2("text", 256).alias("whole")), "marks")
-    classes = marks.where(F.col("n_bytes") >= least).groupBy("f1").agg(F.min("doc_id").alias("cid"))
+    classes = marks.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= least)).groupBy("f1").agg(F.min("doc_id").alias("cid"))
     again = held.stored(_repeated_anchors(long_enough.select("f1", "text"), least).join(classes, "f1"), "anchors")
 
     def pack(batches):
@@ -363,7 +363,7 @@ def suffix_dedup(docs: DataFrame, least: int = 50) -> DataFrame:
 
     A byte goes if a string of `least` bytes over it also starts in a document with a smaller doc_id. Null texts are empty.
     Rows that share a doc_id don't remove each other's bytes. A row with a null doc_id loses nothing and makes no other
-    lose anything unless its text is also that of a document. Texts shorter than `least` are kept whole. Other columns are
+    lose anything. Texts shorter than `least` are kept whole. Other columns are
     ignored; texts of any length are looked at whole.
     """
     held = Scratch(docs.sparkSession)

@@ -78,9 +78,10 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000) -> tuple[DataFrame
 
     Of pages with equal payloads of at least least_bytes, that with the largest page_id is a response, others revisit it
     (rows that repeat that page_id are all responses). Null html is an empty payload, a null url an empty one.
+    A page with a null page_id can't be named by a record and gets none.
     """
     spark = pages.sparkSession
-    rows = stored(_sketch(pages), "warc-pages")
+    rows = stored(_sketch(pages.where("page_id is not null")), "warc-pages")
     best = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     typed = rows.join(best, "digest", "left")
 
@@ -240,16 +241,20 @@ def read_records(archives: DataFrame, found: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives, indexes them, looks every capture up and reads it back: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, of the full payload (a revisit's is that of the response it names)."""
+    payload_digest, record_type, refers_to, of the full payload (a revisit's is that of the response it names).
+    A page with a null page_id is in no archive; its row is that of a response with its payload."""
     archives, captures = write_archives(pages)
     found = lookup(build_index(captures), captures)
     seen = read_records(archives, found)
     own = F.when(F.col("record_type") == "response", F.sha1("payload"))
     read = stored(seen.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), own.alias("own"), "payload_digest"), "warc-read")
     target = read.where("record_type = 'response'").join(read.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to"), F.col("own").alias("payload_digest")).agg(F.max("n").alias("full"))
-    return read.join(target, ["refers_to", "payload_digest"], "left").select(
+    html = F.coalesce("html", F.lit(""))
+    nameless = pages.where("page_id is null").select(F.col("page_id").cast("long"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    named = read.join(target, ["refers_to", "payload_digest"], "left").select(
         "page_id", F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("n")).alias("payload_bytes"), F.coalesce("own", "payload_digest").alias("payload_digest"), "record_type", "refers_to"
     )
+    return named.unionByName(nameless)
 
 
 def export_archives(archives: DataFrame, folder: str) -> list[str]:

@@ -105,6 +105,23 @@ def test_suffix_dedup_against_windows(docs):
     assert all(stripped[i] is None or len(stripped[i].encode()) <= want[i][0] - want[i][1] for i in want)
 
 
+def test_rows_with_null_ids_come_back(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [(None, base), (1, base + " end"), (2, base + " end"), (None, "only here " * 30), (None, "only here " * 30), (None, None), (3, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA).coalesce(1)
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.ngram_join(docs, 3, 90).collect())
+    assert got == [(0, 0)] * 4 + [(1, 1), (2, 1), (3, 3)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted((i or 0, t or "") for i, t in texts if i != 2)
+    cut = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(docs).collect())
+    n = len(base)
+    assert cut == sorted([(0, n, 0), (1, n + 4, 0), (2, n + 4, n + 4), (0, 300, 0), (0, 300, 0), (0, 0, 0), (3, 5, 0)])
+    big = "x" * 1500
+    pages = spark.createDataFrame([(None, "http://a.net", big), (None, "http://a.net", None), (1, "http://a.net", big), (2, None, big)], "page_id long, url string, html string")
+    want = [(0, 0, "response", None), (0, 1500, "response", None), (1, 1500, "revisit", 2), (2, 1500, "response", None)]
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()) == want
+
+
 def test_quality_rules_against_counting(docs):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t, *_ in sample():
