@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm import components as linked
+from firegrid.operators import links as linked
+from firegrid.storage import Scratch, stored
 
 CELL = ["r", "c"]
 
@@ -95,18 +96,16 @@ def otsu(cells: DataFrame, window: int = 5) -> DataFrame:
 def components(cells: DataFrame, diagonal: bool = True, most_rounds: int = 200) -> DataFrame:
     """(r, c, label): label is the least r * 2^31 + c of the patch. Rows are cut into runs; runs that touch are linked;
     patches are the components of the links, in about log(runs) rounds. Links that don't settle in most_rounds raise."""
-    spark = cells.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    held = Scratch(cells.sparkSession)
     own = F.col("r").cast("long") * (1 << 31) + F.col("c")
     seen = cells.select(*CELL).distinct().withColumn("g", F.col("c") - F.row_number().over(Window.partitionBy("r").orderBy("c")))
-    tagged = seen.withColumn("run", F.min(own).over(Window.partitionBy("r", "g"))).checkpoint()
+    tagged = held.stored(seen.withColumn("run", F.min(own).over(Window.partitionBy("r", "g"))), "runs")
     runs = tagged.groupBy("run", "r").agg(F.min("c").alias("a"), F.max("c").alias("b"))
     reach = 1 if diagonal else 0
     # a run and each column it reaches in the next row: an equi-join on cells, not a range join
     reached = runs.select("run", (F.col("r") + 1).alias("r"), F.explode(F.sequence(F.col("a") - reach, F.col("b") + reach)).alias("c"))
-    links = reached.join(tagged.select("r", "c", F.col("run").alias("to")), CELL).select(F.col("run").alias("a"), F.col("to").alias("b"))
-    labels = linked.components(links, most_rounds).select(F.col("id").alias("run"), F.col("component").alias("label"))
-    return tagged.join(labels, "run", "left").select("r", "c", F.coalesce("label", "run").alias("label"))
+    touching = reached.join(tagged.select("r", "c", F.col("run").alias("to")), CELL).select(F.col("run").alias("a"), F.col("to").alias("b"))
+    labels = linked.components(touching, most_rounds).select(F.col("id").alias("run"), F.col("component").alias("label"))
+    out = stored(tagged.join(labels, "run", "left").select("r", "c", F.coalesce("label", "run").alias("label")), "patches")
+    held.clear()
+    return out
