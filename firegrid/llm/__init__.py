@@ -1 +1 @@
-"""Operators for training-data pipelines. Outside this subpackage, operators.raster uses its components."""
+"""Operators for training-data pipelines; nothing outside this subpackage imports it."""

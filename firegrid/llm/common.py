@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firegrid.storage import Scratch, shared_dir, stored  # noqa: F401
+
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: `[\x20\x09-\x0D]`
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -25,44 +25,9 @@ MAPPED_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="firegrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables that an operator writes on its way; clear() deletes them once what is built on them has been written."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def stored(self, df: DataFrame, what: str) -> DataFrame:
-        path = shared_dir(self.spark, what)
-        self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        jvm = self.spark._jvm
-        for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-        self.paths = []
+_PRIME, _BASE_P = (1 << 31) - 1, 0x5BD1E995
+_BASE_P_INV = pow(_BASE_P, -1, _PRIME)
+_POWERS: list[np.ndarray] = []
 
 
 def tidy(run):
@@ -73,9 +38,12 @@ def tidy(run):
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; left alone, it grows with what is freed
+            libc.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming finds all that is free
         try:
             yield from run(batches)
         finally:
+            if _POWERS and len(_POWERS[0]) > 2 * CHUNK_BYTES:
+                _POWERS.clear()  # of a very long text
             pa.default_memory_pool().release_unused()
             if hasattr(libc, "malloc_trim"):
                 libc.malloc_trim(0)
@@ -83,6 +51,17 @@ def tidy(run):
     return inner
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores as it takes to differ from all columns (Spark compares without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(modulus: int, doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus))
@@ -141,26 +120,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        n = max(n + 1, 2 * CHUNK_BYTES)
-        for k, base in enumerate((_BASE, _BASE_INV)):
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n and more of both bases and of their inverses."""
+    if not _POWERS or len(_POWERS[0]) < n + 1:
+        n = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+        _POWERS.clear()
+        for base in (_BASE, _BASE_INV):
             p = np.full(n, base, np.uint64)
             p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+            _POWERS.append(np.cumprod(p, dtype=np.uint64))
+        for base in (_BASE_P, _BASE_P_INV):
+            p = np.ones(n, np.uint64)
+            have = 1
+            while have < n:  # the next half is the first one times base ** have
+                k = min(have, n - have)
+                p[have : have + k] = p[:k] * np.uint64(pow(base, have, _PRIME)) % np.uint64(_PRIME)
+                have += k
+            _POWERS.append(p.astype(np.uint32))
+    return _POWERS
 
 
 class Rolling:
-    """Polynomial hashes (modulo 2**64) of any byte ranges of a buffer, by differences of one running sum."""
+    """64-bit hashes of any byte ranges of a buffer, by differences of running sums.
+
+    Two polynomials are mixed: one modulo 2**64, and, unless plain, one modulo the prime 2**31 - 1, for there are pairs of
+    texts (Thue-Morse sequences) that agree in every polynomial modulo a power of two. plain is for candidates that are
+    compared afterwards. Takes 16 bytes a byte of text (plain: 8), and as much again while it is built.
+    """
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data))
+    def __init__(self, data: np.ndarray, plain: bool = False):
+        up, self.down, up_p, self.down_p = _powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        raised = data.astype(np.uint64)
+        raised += np.uint64(1)
+        self.sums_p = None
+        if not plain:  # terms below 2**39: sums of 2**24 of them are exact, those of more are reduced on the way
+            self.sums_p = np.zeros(len(data) + 1, np.uint64)
+            terms, own = raised * up_p[: len(data)], self.sums_p[1:]
+            for a in range(0, len(data), 1 << 24):
+                part = own[a : a + (1 << 24)]
+                np.cumsum(terms[a : a + (1 << 24)], dtype=np.uint64, out=part)
+                if len(data) > 1 << 24:
+                    part += self.sums_p[a]
+                    part %= np.uint64(_PRIME)
+        np.cumsum(raised * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        h = mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        if self.sums_p is None:
+            return h
+        prime = np.uint64(_PRIME)
+        whole = self.sums_p[ends] - self.sums_p[starts] if len(self.sums_p) <= (1 << 24) + 1 else self.sums_p[ends] + prime - self.sums_p[starts]
+        own = whole % prime * self.down_p[starts] % prime
+        return mix(h + own * np.uint64(0xD1342543DE82EF95))
 
 
 def grams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +187,33 @@ def grams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return out[first], first
 
 
+#: Labelled texts of more bytes than this are no examples, so that what is fitted on has a bound: rows times this.
+FIT_TEXT_BYTES = 1 << 16
+
+
+def examples(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> list[tuple[int, str, int]]:
+    """At most fit_rows labelled texts (doc_id, text, label), each of at most FIT_TEXT_BYTES: those of the smallest hashes
+    of doc_id. Ids are chosen first, so no task sends more texts than are used."""
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT_BYTES
+    picked = sample_by_hash(labels.where(F.col(label).isNotNull()).select("doc_id", label).distinct(), fit_rows)
+    seen = docs.select("doc_id", "text").where(short).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), label)  # at most fit_rows ids
+    return sorted((r[0], r[1], r[2]) for r in sample_by_hash(seen, fit_rows).collect())
+
+
 def sample_by_hash(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """At most n rows, those of the smallest hash of doc_id: a bounded, repeatable sample for fitting."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(n)
 
 
+_SENT: list = []
+
+
 def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
+    """value on all executors. What was sent before leaves their memory (a task that still wants it fetches it again)."""
+    for old in _SENT:
+        try:
+            old.unpersist()
+        except Exception:  # noqa: BLE001 - of a session that has ended
+            continue
+    _SENT[:] = [spark.sparkContext.broadcast(value)]
+    return _SENT[0]

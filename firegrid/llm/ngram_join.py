@@ -21,8 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.operators.links import components
+
 from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, stored, text_chunks, tidy, word_spans
-from .components import components
 
 #: A shingle seen this often within one step of the scan is counted for the order of shingles.
 SEEN_OFTEN = 3
