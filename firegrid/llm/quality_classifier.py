@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, broadcast_value, sample_by_hash, text_chunks, tidy, word_spans
+from .common import Rolling, broadcast_value, examples, text_chunks, tidy, word_spans
 
 #: Most labelled rows to fit on; the sample is what has the smallest hashes of doc_id.
 FIT_ROWS = 3000
@@ -140,9 +140,7 @@ class ByteConvNet:
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """The net, as a broadcast value: at most fit_rows labelled rows and their texts reach the driver."""
-    picked = sample_by_hash(labels.where("quality is not null").select("doc_id", "quality").distinct(), fit_rows)
-    seen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")  # at most fit_rows ids
-    rows = sorted((r.doc_id, r.text, r.quality) for r in sample_by_hash(seen, fit_rows).collect())
+    rows = examples(docs, labels, "quality", fit_rows)
     net = ByteConvNet()
     if rows:
         net.fit([t.encode() for _, t, _ in rows], np.array([q for *_, q in rows], np.float32))
@@ -150,7 +148,11 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
+    """The rows of docs, all columns, whose score reaches the threshold.
+
+    Null texts score as empty ones; rows with a null or repeated doc_id are each judged by their text. An empty table
+    gives an empty result, and no label the untrained net's verdict.
+    """
     model = fit_model(docs, labels, fit_rows)
 
     def keep(batches):
@@ -166,7 +168,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
 
     labels: (doc_id, quality) of the rows to learn from; null labels are no examples. At most fit_rows of them are used,
     and their texts are the only ones that reach the driver. Null texts score as empty ones. Without examples every
-    score is that of the untrained net. Repeated rows are each scored; other columns are ignored.
+    score is that of the untrained net. Memory: about 200 bytes a byte of the longest text or of CHUNK_BYTES. Repeated rows are each scored; other columns are ignored.
     """
     model = fit_model(docs, labels, fit_rows)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, grams, text_chunks, word_spans
+from .common import Rolling, grams, text_chunks, tidy, word_spans
 
 #: Most characters, in parts of 1000 of all word characters, that may lie in repeated n-grams of n words.
 MAX_COVER = {5: 150, 6: 140, 7: 130, 8: 120, 9: 110, 10: 100}
@@ -101,4 +101,4 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50
                 x |= {"doc_id": rows.column(0), "base_failed": failed, "kept": kept}
                 yield pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, " + ", ".join(f"{f.name} {'boolean' if pa.types.is_boolean(f.type) else 'long'}" for f in SCHEMA if f.name != "doc_id"))
+    return docs.select("doc_id", "text").mapInArrow(tidy(judge), "doc_id long, " + ", ".join(f"{f.name} {'boolean' if pa.types.is_boolean(f.type) else 'long'}" for f in SCHEMA if f.name != "doc_id"))

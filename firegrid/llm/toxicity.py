@@ -11,17 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, broadcast_value, mix, sample_by_hash, text_chunks, word_spans
+from .common import LOWER, Rolling, broadcast_value, examples, mix, text_chunks, tidy, word_spans
 
 #: Most labelled rows to fit on; the sample is what has the smallest hashes of doc_id.
 FIT_ROWS = 3000
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN = 1 << 15, 1 << 14, 8, 8
-#: Character inputs of a word: its first 2 to 5 and last 2 to 4 bytes.
-FRONTS, BACKS = (2, 3, 4, 5), (2, 3, 4)
+#: Character inputs of a word: its first 2 to 7 and last 2 to 4 bytes.
+FRONTS, BACKS = (2, 3, 4, 5, 6, 7), (2, 3, 4)
 N_CHAR = len(FRONTS) + len(BACKS)
+#: What the sum of the character vectors of a word is divided by.
+SHARE = 3
 TRIM = np.zeros(256, bool)
-TRIM[list(b".,;:!?\"'()")] = True
+TRIM[list(b".,;:!?\"'()#*$%&|<>")] = True
 
 
 def features(data: np.ndarray, at: np.ndarray):
@@ -29,7 +31,7 @@ def features(data: np.ndarray, at: np.ndarray):
     low = LOWER[data]
     starts, ends, rows = word_spans(data, at)
     roll = Rolling(low)
-    for _ in range(2):
+    for _ in range(4):
         ends = np.where((ends - starts > 1) & TRIM[low[ends - 1]], ends - 1, ends)
     word = (roll.of(starts, ends) % np.uint64(WORD_BUCKETS)).astype(np.int32)
     chars = np.empty((len(word), N_CHAR), np.int32)
@@ -80,7 +82,7 @@ class BiGru:
         self.p |= {"aw": n(2 * HIDDEN, HIDDEN), "av": n(HIDDEN), "o": n(2 * HIDDEN), "ob": np.full(1, -2, np.float32)}
 
     def inputs(self, word, chars):
-        return np.concatenate([self.p["word"][word], self.p["char"][chars].mean(1)], 1)
+        return np.concatenate([self.p["word"][word], self.p["char"][chars].sum(1) / SHARE], 1)
 
     def _run(self, x, mask, d, keep):
         """States (time x windows x HIDDEN) from projected inputs (time x windows x 3 HIDDEN); masked steps carry on."""
@@ -128,7 +130,7 @@ class BiGru:
         odds = np.where(np.isfinite(best), best, odds)
         return 1 / (1 + np.exp(-np.clip(odds.astype(np.float64), -40, 40)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 2e-2, seed: int = 3):
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 3, batch: int = 256, rate: float = 2e-2, seed: int = 3):
         """Windows of texts labelled 0 are examples of 0; of a text labelled 1, its worst window so far is one of 1 (at
         first by the log odds of single words and parts of words, then by the net)."""
         word, chars, rows = _features_of(texts)
@@ -216,7 +218,7 @@ class BiGru:
         np.add.at(dw, back, dx[:, :DIM])
         cids, cback = np.unique(c, return_inverse=True)
         dc = np.zeros((len(cids), DIM), np.float32)
-        np.add.at(dc, cback.reshape(c.shape), (dx[:, None, DIM:] / N_CHAR) * np.ones((1, N_CHAR, 1), np.float32))
+        np.add.at(dc, cback.reshape(c.shape), (dx[:, None, DIM:] / SHARE) * np.ones((1, N_CHAR, 1), np.float32))
         every = slice(None)
         return {k: (every, v) for k, v in g.items()} | {"word": (ids, dw), "char": (cids, dc)}
 
@@ -249,14 +251,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thres
     and their texts are the only ones that reach the driver. Texts without a word, null included, have no window and get
     the net's bias. Repeated rows are each scored; other columns are ignored.
     """
-    spark = docs.sparkSession
-    picked = sample_by_hash(labels.where("toxic is not null").select("doc_id", "toxic").distinct(), fit_rows)
-    seen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")  # at most fit_rows ids
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in sample_by_hash(seen, fit_rows).collect())
+    rows = examples(docs, labels, "toxic", fit_rows)
     net = BiGru()
     if rows:
         net.fit([t.encode() for _, t, _ in rows], np.array([x for *_, x in rows], np.float32))
-    model = broadcast_value(spark, net)
+    model = broadcast_value(docs.sparkSession, net)
 
     def predict(batches):
         for batch in batches:
@@ -264,4 +263,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thres
                 p = model.value.score(data, at)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(p), pa.array(p >= threshold).cast(pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(predict), "doc_id long, score double, predicted int")
