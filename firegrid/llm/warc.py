@@ -16,23 +16,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, shared_dir, stored
+from .common import Scratch, broadcast_value, stored, tidy
 
 CHUNK = 1 << 20
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 256
+#: Blocks of the index that one task of a lookup loads at once.
+PART_BLOCKS = 2048
+#: Parts that a row of a join on a hot page is dealt over.
+SALTS = 16
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed with commas, then `)`, path and query, in lower case: com,example)/a?b=1."""
+    """Host labels reversed with commas, then `)`, path and query, in lower case: com,example)/a?b=1. Tabs and line ends,
+    which part the fields and lines of the index, are percent-encoded."""
     try:
         parts = urlsplit(url or "")
         host = (parts.hostname or "").removeprefix("www.")
         port = f":{parts.port}" if parts.port not in (None, 80, 443) else ""
     except ValueError:
-        return f"){(url or '').lower()}"
-    return f"{','.join(reversed(host.split('.')))}{port}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
+        return one_line(f"){(url or '').lower()}")
+    return one_line(f"{','.join(reversed(host.split('.')))}{port}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower())
+
+
+def one_line(key: str) -> str:
+    return key.replace("\t", "%09").replace("\n", "%0a").replace("\r", "%0d")
 
 
 def record(kind: str, page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -69,21 +78,33 @@ def _sketch(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "digest", "n_bytes", "payload"],
                 )
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(squeeze, "page_id long, url string, digest string, n_bytes long, payload binary")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(tidy(squeeze), "page_id long, url string, digest string, n_bytes long, payload binary")
+
+
+def _dealt_join(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows left joined with one (a row for each key) where a key may hold very many of rows: these are dealt over SALTS
+    parts by spread, and each row of one goes to all parts."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    each = one.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt__", F.when(F.col(key).isNotNull(), salt)).join(each, [key, "salt__"], "left").drop("salt__")
 
 
-def write_archives(pages: DataFrame, least_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Writes a record for each page; returns the tables (archive, start, data) and captures
+def write_archives(pages: DataFrame, held: Scratch, least_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Writes a record for each page; returns the tables (archive, start, length, data) and captures
     (url_key, page_id, archive, offset, length).
 
     Of pages with equal payloads of at least least_bytes, that with the largest page_id is a response, others revisit it
     (rows that repeat that page_id are all responses). Null html is an empty payload, a null url an empty one.
-    A page with a null page_id can't be named by a record and gets none.
+    A page with a null page_id can't be named by a record and gets none. Which pages revisit which is worked out on ids
+    and digests alone; a payload moves once, by its page_id, so a common page is no hot key. An empty table gives empty
+    tables; other columns are ignored. The tables lie in folders of held and go with them.
     """
     spark = pages.sparkSession
-    rows = stored(_sketch(pages.where("page_id is not null")), "warc-pages")
-    best = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    typed = rows.join(best, "digest", "left")
+    rows = held.stored(_sketch(pages.where("page_id is not null")), "warc-pages")
+    large = rows.where(F.col("n_bytes") >= least_bytes).select("digest", "page_id")
+    best = large.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    revisits = _dealt_join(large, best, "digest", "page_id").where("best is not null and page_id <> best").select("page_id", "digest", "best").distinct()
+    typed = rows.join(held.stored(revisits, "warc-revisits"), ["page_id", "digest"], "left")
 
     def write(batches):
         part, state = None, {"archive": "", "at": 0, "from": 0, "buf": bytearray()}
@@ -97,8 +118,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000) -> tuple[DataFrame
                     from pyspark import TaskContext
 
                     state = {"archive": f"{TaskContext.get().partitionId():06d}-{part}.warc.gz", "at": 0, "from": 0, "buf": bytearray()}
-                again = best is not None and page_id != best
-                raw = record("revisit" if again else "response", page_id, url, zlib.decompress(payload), digest, best)
+                raw = record("response" if best is None else "revisit", page_id, url, zlib.decompress(payload), digest, best)
                 captures.append((url_key(url), page_id, state["archive"], state["at"], len(raw)))
                 state["buf"] += raw
                 state["at"] += len(raw)
@@ -123,31 +143,33 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000) -> tuple[DataFrame
         state["buf"] = bytearray()
         return out
 
-    made = typed.select("digest", "page_id", "url", "n_bytes", "payload", "best").mapInArrow(write, "url_key string, page_id long, archive string, offset long, length long, data binary")
-    path = shared_dir(spark, "warc-archives")
+    made = typed.select("digest", "page_id", "url", "n_bytes", "payload", "best").mapInArrow(tidy(write), "url_key string, page_id long, archive string, offset long, length long, data binary")
+    path = held.folder("warc-archives")
     made.withColumn("kind", F.when(F.col("data").isNull(), "capture").otherwise("archive")).write.partitionBy("kind").option("compression", "none").parquet(path)
     schema = "url_key string, page_id long, archive string, offset long, length long, data binary, kind string"
     table = spark.read.schema(schema).parquet(path)
     return table.where("kind = 'archive'").select("archive", F.col("offset").alias("start"), "length", "data"), table.where("kind = 'capture'").select("url_key", "page_id", "archive", "offset", "length")
 
 
-def build_index(captures: DataFrame) -> DataFrame:
-    """The index: (part, block, first_key, last_key, lines), blocks of sorted lines deflated; parts hold key ranges."""
+def build_index(captures: DataFrame, held: Scratch) -> DataFrame:
+    """The index: (part, block, first_key, last_key, lines), blocks of sorted lines deflated. A part is a key range of at
+    most PART_BLOCKS blocks."""
 
     def pack(batches):
         from pyspark import TaskContext
 
-        part, block, lines = TaskContext.get().partitionId(), 0, []
+        task, block, lines = TaskContext.get().partitionId(), 0, []
 
         def out():
+            part = (task << 32) + block // PART_BLOCKS
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([lines[0].split("\t", 1)[0]]), pa.array([lines[-1].split("\t", 1)[0]]), pa.array([zlib.compress("\n".join(lines).encode(), 6)], pa.binary())],
+                [pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([lines[0].split("\t", 1)[0]]), pa.array([lines[-1].split("\t", 1)[0]]), pa.array([zlib.compress("\n".join(lines).encode(), 6)], pa.binary())],
                 ["part", "block", "first_key", "last_key", "lines"],
             )
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines.append("\t".join([row[0].replace("\t", "%09").replace("\n", "%0A"), *map(str, row[1:])]))
+                lines.append("\t".join(map(str, row)))
                 if len(lines) == BLOCK_LINES:
                     yield out()
                     block, lines = block + 1, []
@@ -156,7 +178,7 @@ def build_index(captures: DataFrame) -> DataFrame:
 
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = captures.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return stored(ranged.mapInArrow(pack, "part int, block int, first_key string, last_key string, lines binary"), "warc-index")
+    return held.stored(ranged.mapInArrow(tidy(pack), "part long, block int, first_key string, last_key string, lines binary"), "warc-index")
 
 
 class Block:
@@ -167,7 +189,6 @@ class Block:
         self.keys = np.array([x[0] for x in self.rows], object)
 
     def find(self, key: str) -> list[tuple]:
-        key = key.replace("\t", "%09").replace("\n", "%0A")
         a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
         return [(int(x[1]), x[2], int(x[3]), int(x[4])) for x in self.rows[a:b]]
 
@@ -175,9 +196,9 @@ class Block:
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     """(url_key, page_id, archive, offset, length) of every capture of each distinct key of keys(url_key).
 
-    The first level, one key range for each part (as many as the index has partitions), is broadcast; keys go to their
+    The first level, one key range for each part (PART_BLOCKS x BLOCK_LINES captures), is broadcast; keys go to their
     parts; there the directory of first keys and then a block are searched by bisection. A key whose captures fill more
-    than one part is looked up in each.
+    than one part is looked up in each. Null keys find nothing.
     """
     spark = index.sparkSession
     tops = sorted((r["part"], r["a"], r["b"]) for r in index.groupBy("part").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b")).collect())
@@ -190,13 +211,13 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
         firsts, lasts, parts = shared.value
         for batch in batches:
             key, part = [], []
-            for k in batch.column(0).to_pylist():
+            for k in map(one_line, batch.column(0).to_pylist()):
                 for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)):
                     key.append(k)
                     part.append(parts[i])
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key, pa.string())], ["part", "url_key"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(key, pa.string())], ["part", "url_key"])
 
-    routed = keys.select("url_key").distinct().mapInArrow(route, "part int, url_key string")
+    routed = keys.select("url_key").where("url_key is not null").distinct().mapInArrow(tidy(route), "part long, url_key string")
 
     def search(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
         import bisect
@@ -242,19 +263,27 @@ def read_records(archives: DataFrame, found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives, indexes them, looks every capture up and reads it back: page_id, payload_bytes,
     payload_digest, record_type, refers_to, of the full payload (a revisit's is that of the response it names).
-    A page with a null page_id is in no archive; its row is that of a response with its payload."""
-    archives, captures = write_archives(pages)
-    found = lookup(build_index(captures), captures)
+    A page with a null page_id is in no archive; its row is that of a response with its payload. Null html and url are
+    empty; repeated rows come back as often as they are there; an empty table gives an empty result; other columns are
+    ignored. Tables made on the way are deleted."""
+    held = Scratch(pages.sparkSession)
+    archives, captures = write_archives(pages, held)
+    # a page_id that is repeated is looked up once for each of its captures
+    found = lookup(build_index(captures, held), captures)
     seen = read_records(archives, found)
     own = F.when(F.col("record_type") == "response", F.sha1("payload"))
-    read = stored(seen.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), own.alias("own"), "payload_digest"), "warc-read")
-    target = read.where("record_type = 'response'").join(read.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to"), F.col("own").alias("payload_digest")).agg(F.max("n").alias("full"))
+    read = held.stored(seen.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), own.alias("own"), "payload_digest"), "warc-read")
+    asked = read.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct()
+    target = read.where("record_type = 'response'").join(asked, "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to"), F.col("own").alias("digest")).agg(F.max("n").alias("full"))
+    revisit = _dealt_join(read.where("record_type = 'revisit'").withColumn("digest", F.col("payload_digest")).withColumn("both", F.struct("refers_to", "digest")), target.select(F.struct("refers_to", "digest").alias("both"), "full"), "both", "page_id")
     html = F.coalesce("html", F.lit(""))
     nameless = pages.where("page_id is null").select(F.col("page_id").cast("long"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    named = read.join(target, ["refers_to", "payload_digest"], "left").select(
-        "page_id", F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("n")).alias("payload_bytes"), F.coalesce("own", "payload_digest").alias("payload_digest"), "record_type", "refers_to"
+    named = read.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("own").alias("payload_digest"), "record_type", "refers_to").unionByName(
+        revisit.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     )
-    return named.unionByName(nameless)
+    out = stored(named.unionByName(nameless), "warc-round-trip")
+    held.clear()
+    return out
 
 
 def export_archives(archives: DataFrame, folder: str) -> list[str]:

@@ -6,8 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from firegrid.llm import components, decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc
+from firegrid.llm import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc
 from firegrid.llm.common import Scratch
+from firegrid.operators import links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -84,7 +85,7 @@ def test_tiles_find_what_pairs_find():
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.id: r.component for r in components.components(edges).collect()}
+    got = {r.id: r.component for r in links.components(edges).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
 
 
@@ -161,10 +162,27 @@ def test_warc_round_trip(spark, tmp_path):
     want = {i: (len((h or "").encode()), sha(h), "response", None) for i, _, h in rows}
     want[1] = (1500, sha(big), "revisit", 2)
     assert got == want
-    archives, captures = warc.write_archives(pages)
-    found = warc.lookup(warc.build_index(captures), spark.createDataFrame([("com,example,a)/p?q=1",), ("nothing",)], "url_key string"))
+    held = Scratch(spark)
+    archives, captures = warc.write_archives(pages, held)
+    found = warc.lookup(warc.build_index(captures, held), spark.createDataFrame([("com,example,a)/p?q=1",), ("nothing",)], "url_key string"))
     assert sorted(r.page_id for r in found.collect()) == [1, 4]
     assert warc.export_archives(archives, str(tmp_path))
+    held.clear()
+
+
+def test_warc_keeps_odd_pages(spark):
+    big = "x" * 1500
+    urls = ["http://[bad\tx", "http://[bad\nx", "http://[bad\rx", "http://a.net/\tx", None, "", "HTTP://A.NET:8080/é?ü", "a" * 5000, "\u2028[", "http://a.net/%0a"]
+    rows = [(i, u, big if i % 3 else None, "x", i) for i, u in enumerate(urls)] + [(3, urls[3], big, "x", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, refers_to int")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages).collect())
+    large = max(i for i, _, h, *_ in rows if h)
+    assert got == sorted((i, len(h or ""), "revisit" if h and i != large else "response", large if h and i != large else 0) for i, _, h, *_ in rows)
+    held = Scratch(spark)
+    index = warc.build_index(warc.write_archives(pages, held)[1], held)
+    asked = spark.createDataFrame([(warc.url_key(urls[0]),), (None,), (")http://[bad\nx",)], "url_key string")
+    assert sorted(r.page_id for r in warc.lookup(index, asked).collect()) == [0, 1]
+    held.clear()
 
 
 def test_language_id(spark):
