@@ -67,6 +67,15 @@ def remainder(modulus: int, doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus))
 
 
+def parts_for(df: DataFrame, factor: float = 1.0, part_bytes: int = 64 << 20) -> int:
+    """Partitions for a shuffle of about factor times the bytes of df's tables; at least spark.sql.shuffle.partitions,
+    for AQE does not raise a count that is given."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(200_000, int(size * factor / part_bytes) + 1)) if size < 1 << 50 else least  # more: not known
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (first 0) of a string column without copying; null is empty."""
     if isinstance(column, pa.ChunkedArray):

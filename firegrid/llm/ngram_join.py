@@ -18,12 +18,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.operators.links import components
 
-from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, stored, text_chunks, tidy, word_spans
+from .common import LOWER, Rolling, Scratch, broadcast_value, grams, mix, parts_for, stored, text_chunks, tidy, word_spans
 
 #: A shingle seen this often within one step of the scan is counted for the order of shingles.
 SEEN_OFTEN = 3
@@ -39,6 +39,11 @@ CELLS = 256
 BROADCAST_IDS = 1_000_000
 
 
+def text_hash() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text in a row, and where each text's begin."""
     n_docs = len(at) - 1
@@ -147,8 +152,8 @@ def _frequent(docs: DataFrame, n: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, prefix, cells): size and fingerprint of each set, its rarest shingles, and how many of
-    its shingles fall into each of CELLS parts of the hash space. prefix and cells are null for an empty set and where
+    """(doc_id, t, n_shingles, f1, f2, prefix, cells): hash of the text, size and fingerprint of each set, its rarest
+    shingles, and how many of its shingles fall into each of CELLS parts of the hash space. prefix and cells are null for an empty set and where
     the task has seen the set before. The sum of the lesser counts of two sets is at least their overlap."""
     top = _frequent(docs, n).orderBy(F.desc("df"), "token").limit(ORDER_ROWS).toArrow()
     known = top.column("token").to_numpy().view(np.uint64)
@@ -188,12 +193,14 @@ def signatures(docs: DataFrame, n: int, pct: int) -> DataFrame:
                 flat = of * CELLS + (keys >> np.uint64(40)).astype(np.int64) % CELLS
                 counts = np.bincount(flat, minlength=len(size) * CELLS).astype(np.int32).reshape(-1, CELLS)
                 cells = pa.array([z.compress(c.tobytes()) if new else None for c, new in zip(counts, fresh.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, cells], ["doc_id", "n_shingles", "f1", "f2", "prefix", "cells"])
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, cells], ["doc_id", "t", "n_shingles", "f1", "f2", "prefix", "cells"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(sign), "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, cells binary")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(tidy(sign), "doc_id long, t long, n_shingles long, f1 long, f2 long, prefix array<long>, cells binary")
 
 
-def _lists(listed: DataFrame, held: Scratch) -> DataFrame:
+def _lists(listed: DataFrame, held: Scratch, parts: int) -> DataFrame:
     """(token, cid, size, pivot, pivot_size, wide) of listed (token, cid, size), for shingles with several members. wide is
     false where a list is known to have two members only.
 
@@ -237,7 +244,6 @@ def _lists(listed: DataFrame, held: Scratch) -> DataFrame:
             token, cid, size = (np.array(x, np.int64) for x in zip(first, last, strict=True))
             yield rows(token, cid, size, cid, size, np.ones(2, bool), True)
 
-    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = listed.repartitionByRange(parts, "token", "cid").sortWithinPartitions("token", "cid")
     found = held.stored(dealt.select("token", "cid", "size").mapInArrow(tidy(walk), "token long, cid long, size long, pivot long, pivot_size long, wide boolean, edge boolean"), "lists")
     least = F.min(F.struct("pivot", "pivot_size"))
@@ -249,7 +255,7 @@ def _lists(listed: DataFrame, held: Scratch) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(cid, packed): texts as zstd frames, which move as a third of their bytes."""
+    """(cid, packed) of docs (cid, text): texts as zstd frames, which move as a third of their bytes."""
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -258,10 +264,10 @@ def _packed(docs: DataFrame) -> DataFrame:
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([z.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["cid", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(pack), "cid long, packed binary")
+    return docs.select("cid", "text").mapInArrow(tidy(pack), "cid long, packed binary")
 
 
-def _pivot_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
+def _pivot_links(rows: DataFrame, n: int, pct: int, parts: int) -> DataFrame:
     """Links (a, b) between each pivot and its members. rows: (pivot, salt, cid, packed); cid = pivot is the query."""
 
     def search(batches):
@@ -294,7 +300,6 @@ def _pivot_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
         if (out := flush()) is not None:
             yield out
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
     return dealt.select("pivot", "salt", "cid", "packed").mapInArrow(tidy(search), "a long, b long")
 
@@ -331,7 +336,7 @@ def tile_links(ids: list[int], comps: list[int], sides: list[int], texts: list[b
     return out
 
 
-def _tile_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
+def _tile_links(rows: DataFrame, n: int, pct: int, parts: int) -> DataFrame:
     """rows: (bucket, i, j, side, cid, comp, packed), a tile for each (bucket, i, j)."""
 
     def search(batches):
@@ -350,7 +355,6 @@ def _tile_links(rows: DataFrame, n: int, pct: int) -> DataFrame:
                 held.append((cid, comp, side, packed))
         yield flush()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
     return dealt.select("bucket", "i", "j", "side", "cid", "comp", "packed").mapInArrow(tidy(search), "a long, b long")
 
@@ -362,7 +366,7 @@ def _asked(pairs: DataFrame) -> DataFrame:
     return asked.unionByName(width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid")))
 
 
-def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int) -> DataFrame:
+def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int, parts: int) -> DataFrame:
     """The pairs (pivot, cid) that the bound on their overlap leaves open. bounds: (cid, size, cells)."""
 
     def search(batches):
@@ -377,25 +381,26 @@ def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int) -> DataFrame:
                     out.append((pivot, cid))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["pivot", "cid"])
 
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _asked(pairs).join(bounds, "cid").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
     return dealt.select("pivot", "salt", "cid", "size", "cells").mapInArrow(tidy(search), "pivot long, cid long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, held: Scratch) -> DataFrame:
-    """(cid, packed) of the documents in ids (cid), one for each id. Few ids are broadcast; many are joined."""
-    ids = held.stored(ids.distinct(), "asked")
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame, held: Scratch) -> DataFrame:
+    """(cid, packed) of the classes in ids (cid): of each the text that stands for it. Few ids are broadcast; many are
+    joined."""
+    ids = held.stored(classes.join(ids.distinct(), "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.t").alias("t")), "asked")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(), "text")
     if ids.count() <= BROADCAST_IDS:
-        found = _packed(docs.join(F.broadcast(ids.withColumnRenamed("cid", "doc_id")), "doc_id", "left_semi"))
+        found = _packed(rows.join(F.broadcast(ids), ["doc_id", "t"]))
     else:
-        found = _packed(docs).join(ids, "cid", "left_semi")
+        found = _packed(rows.join(ids, ["doc_id", "t"]))
     return held.stored(found.dropDuplicates(["cid"]), "packed")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, held: Scratch, n: int, pct: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, held: Scratch, n: int, pct: int) -> DataFrame:
     """The links among pairs (pivot, cid): members of a pivot are searched in pieces, with the pivot as the query."""
-    texts = _texts(docs, pairs.select("cid").union(pairs.select("pivot")), held)
-    return held.stored(_pivot_links(_asked(pairs).join(texts, "cid"), n, pct), "links")
+    texts = _texts(docs, classes, pairs.select("cid").union(pairs.select("pivot")), held)
+    return held.stored(_pivot_links(_asked(pairs).join(texts, "cid"), n, pct, parts_for(docs, 0.25)), "links")
 
 
 def tile_pairs(comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, cells: np.ndarray, pct: int) -> list[tuple[int, int]] | None:
@@ -416,7 +421,7 @@ def tile_pairs(comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, cells: n
     return out
 
 
-def _bounded_pairs(rows: DataFrame, pct: int) -> DataFrame:
+def _bounded_pairs(rows: DataFrame, pct: int, parts: int) -> DataFrame:
     """rows: (bucket, i, j, side, cid, comp, size, cells). (a, b, bucket, i, j): open pairs, or with null a and b a tile
     that has to be searched with its texts."""
 
@@ -446,7 +451,6 @@ def _bounded_pairs(rows: DataFrame, pct: int) -> DataFrame:
         if len(held) > 1:
             yield flush()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
     return dealt.select("bucket", "i", "j", "side", "cid", "comp", "size", "cells").mapInArrow(tidy(search), "a long, b long, bucket long, i int, j int")
 
@@ -456,24 +460,29 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     100 * intersection >= pct * union between sets of n-word shingles of lower-case (A-Z) text.
 
     A text with fewer than n words has all of them as its one shingle. Null texts and texts without a word have the empty
-    set and link with nothing. Rows that share a doc_id are one node; ties and repeated rows link like any equal sets.
-    component_id is the least doc_id that can be reached. A row with a null doc_id links with nothing and has a null
-    component_id. Other columns are ignored.
+    set and link with nothing. Rows that share a doc_id are one node, with the links of all their texts; ties and repeated
+    rows link like any equal sets. component_id is the least doc_id that can be reached. A row with a null doc_id links
+    with nothing and has a null component_id. An empty table gives an empty result; other columns are ignored. Memory: about
+    100 bytes a byte of the longest text or of CHUNK_BYTES, and PIECE texts at a time in a search.
     """
     held = Scratch(docs.sparkSession)
+    parts = parts_for(docs, 0.25)
     found = held.stored(signatures(docs, n, pct), "signatures")
     real = found.where("n_shingles > 0")
     rest = (F.first("prefix", True).alias("prefix"), F.first("cells", True).alias("cells"))
-    classes = held.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"), *rest).where("cid is not null"), "classes")
+    rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("rep")
+    # numbered, for one doc_id may stand for several classes; the numbers are fixed by writing them
+    classes = real.groupBy("f1", "f2", "n_shingles").agg(rep, *rest).where("rep is not null").withColumn("cid", F.monotonically_increasing_id())
+    classes = held.stored(classes, "classes")
     bounds = classes.select("cid", F.col("n_shingles").alias("size"), "cells")
     # lists of two members and more, each with its pivot
-    members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held)
+    members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held, parts)
     near = members.where("cid <> pivot").where(f"100 * least(size, pivot_size) >= {pct} * greatest(size, pivot_size)")
     pairs = held.stored(near.select("pivot", "cid").distinct(), "pairs")
-    links = _verified(held.stored(_open_pairs(pairs, bounds, pct), "open"), docs, held, n, pct)
-    parts = components(links)
+    links = _verified(held.stored(_open_pairs(pairs, bounds, pct, parts), "open"), docs, classes, held, n, pct)
+    first = components(links)
     # lists that hold members apart from each other, neither of them the pivot: searched in tiles
-    placed = members.where("wide and cid <> pivot").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    placed = members.where("wide and cid <> pivot").join(first.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     # partners differ in size by little, so a list falls into bands of size; a member is in its own and in the next
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / pct)) + 1e-9)
     placed = held.stored(placed.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "cid", "comp"), "placed")
@@ -484,22 +493,35 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
         F.col("token").alias("bucket"), F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "cid", "comp"
     )
     tiled = held.stored(tiled.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("c") == F.col("i"), 0).otherwise(1))).drop("c"), "tiles")
-    doubts = held.stored(_bounded_pairs(tiled.join(bounds, "cid"), pct), "doubts")
-    more = _verified(doubts.where("a is not null").select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("cid")).distinct(), docs, held, n, pct)
+    doubts = held.stored(_bounded_pairs(tiled.join(bounds, "cid"), pct, parts), "doubts")
+    more = _verified(doubts.where("a is not null").select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("cid")).distinct(), docs, classes, held, n, pct)
     dense = doubts.where("a is null").select("bucket", "i", "j")
     if not dense.isEmpty():
         dense = held.stored(tiled.join(dense, ["bucket", "i", "j"]), "dense")
-        more = more.unionByName(_tile_links(dense.join(_texts(docs, dense.select("cid"), held), "cid"), n, pct))
-    parts = components(links.unionByName(more))
-    own_class = real.where("doc_id is not null").join(classes.select("f1", "f2", "n_shingles", "cid"), ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "cid")
-    whole = own_class.unionByName(found.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("cid")))
-    out = stored(whole.join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("component_id")), "ngram-join")
+        more = more.unionByName(_tile_links(dense.join(_texts(docs, classes, dense.select("cid"), held), "cid"), n, pct, parts))
+    keys = ["f1", "f2", "n_shingles"]
+    named = real.where("doc_id is not null").select("doc_id", *keys).join(classes.select(*keys, "cid", F.col("rep.doc_id").alias("least")), keys).select("doc_id", "n_shingles", "cid", "least")
+    named = held.stored(named, "named")
+    several = named.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last")
+    same = named.join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b"))
+    nodes = components(links.unionByName(more).unionByName(same)).withColumnRenamed("id", "cid")
+    least = nodes.join(classes.select("cid", F.col("rep.doc_id").alias("least")), "cid").groupBy("component").agg(F.min("least").alias("component_id"))
+    rows = named.join(nodes.join(least, "component").select("cid", "component_id"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
+    # a row without a set whose doc_id has another row with one
+    empty = found.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    own = rows.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = empty.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = found.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = stored(rows.unionByName(empty).unionByName(nameless), "ngram-join")
     held.clear()
     return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is its component's least; all columns. Of rows with one doc_id all stay, and so
-    do rows with a null doc_id, which are in no component."""
-    kept = ngram_join(docs.where("doc_id is not null"), n, pct).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is its component's least; all columns, whatever they are called. Of rows with one
+    doc_id all stay, and so do rows with a null doc_id, which are in no component, and texts without a word."""
+    kept = ngram_join(docs.where("doc_id is not null"), n, pct).where("doc_id = component_id").select(F.col("doc_id").alias("least__")).distinct()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # so that no column of docs can clash with ours
+    own = docs.select(row, F.col("doc_id").cast("long").alias("own__"))
+    found = own.where("own__ is not null").join(kept, F.col("own__") == F.col("least__"), "left_semi")
+    return found.unionByName(own.where("own__ is null")).select("row.*")

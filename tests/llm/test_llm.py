@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from firegrid.llm import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc
-from firegrid.llm.common import Scratch
+from firegrid.llm.common import Rolling, Scratch
 from firegrid.operators import links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -53,6 +53,29 @@ def test_ngram_join_against_all_pairs(docs, n, pct):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), least[i]) for i, s in rows.items()}
 
 
+def test_one_id_with_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (1, other), (2, base + " end"), (3, other + " end"), (4, "left alone here"), (5, ""), (5, base.replace("w3 ", "x ")), (6, " "), (7, None)]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, component_id string, row int")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(docs, 3, 80).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (5, 1), (6, 6), (7, 7)]
+    kept = ngram_join.keep_one(docs, 3, 80)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, base), (1, other), (4, "left alone here"), (6, " "), (7, "")])
+
+
+def test_hash_tells_sequences_apart_that_agree_modulo_powers_of_two():
+    x = [0]
+    while len(x) < 1024:
+        x += [1 - v for v in x]
+    a, b = (bytes(97 + (v ^ k) for v in x) for k in (0, 1))
+    data = np.frombuffer(a + b" " + b + b" " + a, np.uint8)
+    h = Rolling(data).of(np.array([0, 1025, 2050]), np.array([1024, 2049, 3074]))
+    assert h[0] == h[2] != h[1]
+    assert len(set(ngram_join.shingle_sets(data, np.array([0, len(data)]), 1)[0].tolist())) == 2
+
+
 def test_tiles_find_what_pairs_find():
     rng = np.random.default_rng(1)
     base = [f"k{i}" for i in range(80)]
@@ -281,7 +304,7 @@ def test_empty_tables(spark):
 def test_lists_cut_between_tasks_keep_one_pivot(spark):
     rows = [(t, c, 10 + c % 7) for t, k in ((1, 1), (2, 2), (3, 900), (4, 3), (5, 1), (6, 2)) for c in range(5 * t, 5 * t + k)]
     held = Scratch(spark)
-    got = ngram_join._lists(spark.createDataFrame(rows, "token long, cid long, size long"), held).collect()
+    got = ngram_join._lists(spark.createDataFrame(rows, "token long, cid long, size long"), held, 8).collect()
     real = {(r.token, r.cid, r.size) for r in got}
     assert len(got) == len(real) and real >= {x for x in rows if x[0] in (2, 3, 4, 6)}
     for r in got:
