@@ -521,7 +521,7 @@ def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is its component's least; all columns, whatever they are called. Of rows with one
     doc_id all stay, and so do rows with a null doc_id, which are in no component, and texts without a word."""
     kept = ngram_join(docs.where("doc_id is not null"), n, pct).where("doc_id = component_id").select(F.col("doc_id").alias("least__")).distinct()
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # so that no column of docs can clash with ours
+    row = F.struct("*").alias("row")  # so that no column of docs can clash with ours
     own = docs.select(row, F.col("doc_id").cast("long").alias("own__"))
     found = own.where("own__ is not null").join(kept, F.col("own__") == F.col("least__"), "left_semi")
     return found.unionByName(own.where("own__ is null")).select("row.*")

@@ -2,9 +2,12 @@
 
 A suffix (cut to the least length) matters only if it repeats. Which may do so is found by anchors: the least hash among
 a suffix's 16-byte grams is the same in all its copies. Anchors seen in one text alone are dropped; the suffixes at the
-others are range-partitioned by the bytes at their anchor with sampled splitters, sorted in their partition by multikey
-quicksort, word by word, and runs of equal suffixes give the least document of each. A partition is worked on in pieces that end
-where the leading bytes change, so no run crosses a boundary. Copies of a whole text are one class from the start.
+others are range-partitioned by the bytes at their anchor with sampled splitters and sorted in their partition by several
+keys in turn: by their first word of 8 bytes, then, as in multikey quicksort, only runs that are still equal by the next
+word (numpy's sort stands in for the three-way partition). Runs of equal suffixes give the least document of each. A
+partition is worked on in pieces that end where the leading bytes change, so no run crosses a boundary and none has to be
+compared across. Leading bytes that the sample shows to be common would be one task's: their suffixes go one by one, each
+by a hash of all its bytes. Copies of a whole text are one class from the start.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, broadcast_value, stored, text_buffers, text_chunks, tidy
+from .common import Rolling, Scratch, broadcast_value, parts_for, stored, text_buffers, text_chunks, tidy
 
 GRAM = 16
 #: Bytes of text whose anchors a task gathers before it sends them on.
@@ -29,6 +32,12 @@ STEP_BYTES = 1 << 21
 SORT_BYTES = 2 << 20
 #: Surroundings a task remembers, to send equal ones of larger documents no further.
 KNOWN = 300_000
+#: Texts that are sampled for splitters, and how many bytes at most of each.
+SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 1 << 13
+#: Leading bytes that this many sampled texts hold are common.
+COMMON = 6
+#: Most fingerprints that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _LOW = np.uint64((1 << 23) - 1)
 
 
@@ -50,7 +59,7 @@ def anchors(data: np.ndarray, at: np.ndarray, least: int):
             continue
         cut = np.array([0, len(part)]) if cut is None else cut
         index = np.arange(len(part) - GRAM + 1)
-        h = Rolling(part).of(index, index + GRAM)
+        h = Rolling(part, plain=True).of(index, index + GRAM)
         least_of = (h & ~_LOW) | index.astype(np.uint64)
         width, have = least - GRAM + 1, 1
         run = least_of
@@ -81,7 +90,7 @@ def _short(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     """(f1, marks): for texts (by fingerprint) the short hashes of anchors that other texts hold too. docs: (f1, text)."""
-    buckets = max(32, docs.rdd.getNumPartitions())
+    buckets = max(32, parts_for(docs, 2.0))
 
     def gather(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -159,28 +168,51 @@ def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     return met.groupBy("f1").agg(F.collect_list("marks").alias("marks"))
 
 
-def _splitters(docs: DataFrame, least: int, parts: int) -> np.ndarray:
-    """Leading keys that cut the anchors of a few sampled texts into equal parts; they decide about balance alone."""
-    texts = [r["text"].encode()[: 1 << 16] for r in docs.select("text").limit(300).collect()]
+def _splitters(docs: DataFrame, n_docs: int, least: int, parts: int) -> tuple[np.ndarray, frozenset[int]]:
+    """Leading keys that cut the anchors of a few sampled texts into equal parts, and keys that COMMON of these texts hold.
+    Both decide about balance alone; at most SAMPLE_TEXTS x SAMPLE_BYTES reach the driver."""
+    share = min(1.0, 1.5 * SAMPLE_TEXTS / max(1, n_docs))
+    sampled = docs if share == 1.0 else docs.sample(False, share, 11)
+    texts = [r[0].encode()[:SAMPLE_BYTES] for r in sampled.select(F.substring("text", 1, SAMPLE_BYTES)).limit(SAMPLE_TEXTS).collect()]
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    leads = []
+    leads, held = [], []
     for lo, hi in _pieces(at):
-        pos = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], least)[1]
+        row, pos, *_ = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], least)
         raw = data[at[lo] : at[hi]].tobytes()
-        leads += [int.from_bytes(raw[p : p + 8]) for p in pos.tolist()]
-    leads = np.sort(np.array(leads, np.uint64))
-    return np.unique(leads[np.linspace(0, len(leads) - 1, parts + 1).astype(int)[1:-1]]) if len(leads) else leads
-
-
-def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray) -> DataFrame:
+        own = [int.from_bytes(raw[p : p + 8]) for p in pos.tolist()]
+        leads += own
+        held += {(x, lo + r) for x, r in zip(own, row.tolist(), strict=True)}
+    seen: dict[int, int] = {}
+    for x, _ in held:
+        seen[x] = seen.get(x, 0) + 1
+    common = frozenset(x for x, k in seen.items() if k >= COMMON)
+    rest = np.sort(np.array([x for x in leads if x not in common], np.uint64))
+    return np.unique(rest[np.linspace(0, len(rest) - 1, parts + 1).astype(int)[1:-1]]) if len(rest) else rest, common
+
+
+def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray, common: frozenset[int], parts: int) -> DataFrame:
     """(part, lead, f1, cid, first, around) of each repeated anchor: its suffixes are around[j : j + least]. Where a task
     knows the same surroundings from a smaller document, around is null and lead holds the end of the removed range, for
-    nothing has to be compared. texts: (f1, cid, packed, marks)."""
-    shared = broadcast_value(texts.sparkSession, splitters)
+    nothing has to be compared; such rows go to any part. At common leading bytes each suffix is a row of its own, and
+    part and lead are a hash of it. texts: (f1, cid, packed, marks)."""
+    shared = broadcast_value(texts.sparkSession, (splitters, common))
 
     def cut(batches):
         z, known = zstandard.ZstdDecompressor(), {}
+        splitters, common = shared.value
+
+        def first_known(around, owner):
+            """Whether a smaller document is known to hold this; if not, this one is."""
+            before = known.get(around)
+            if before is not None and before < owner:
+                return True
+            if before is None or owner < before:
+                if len(known) > KNOWN:
+                    known.clear()
+                known[around] = owner
+            return False
+
         done: set[int] = set()
         for batch in batches:
             f1, cid, packed, marks = (c.to_pylist() for c in batch.columns)
@@ -202,19 +234,30 @@ def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray) -> DataFr
                     row, pos, first, last = row[keep], pos[keep], first[keep], last[keep]
                     text, rows = part.tobytes(), []
                     lead = [int.from_bytes(text[p : p + 8]) for p in pos.tolist()]
-                    where = np.searchsorted(shared.value, np.array(lead, np.uint64), "right").tolist()
+                    where = np.searchsorted(splitters, np.array(lead, np.uint64), "right").tolist()
                     for r, i, j, key, to in zip(row.tolist(), first.tolist(), last.tolist(), lead, where, strict=True):
                         k = pick[lo + r]
-                        around, begin = text[i : j + least], i - int(own[r])
-                        before = known.get(around)
-                        if before is not None and before < cid[k]:
-                            rows.append((to, begin + len(around), f1[k], cid[k], begin, None))
+                        base = int(own[r])
+                        if key not in common:
+                            around = text[i : j + least]
+                            if first_known(around, cid[k]):
+                                rows.append((f1[k] % parts, j + least - base, f1[k], cid[k], i - base, None))
+                            else:
+                                rows.append((to, key - (1 << 63), f1[k], cid[k], i - base, around))
                             continue
-                        if before is None or cid[k] < before:
-                            if len(known) > KNOWN:
-                                known.clear()
-                            known[around] = cid[k]
-                        rows.append((to, key - (1 << 63), f1[k], cid[k], begin, around))
+                        open_ = None  # where a run of suffixes that are known began
+                        for q in range(i, j + 1):
+                            suffix = text[q : q + least]
+                            if first_known(suffix, cid[k]):
+                                open_ = q if open_ is None else open_
+                                continue
+                            if open_ is not None:
+                                rows.append((f1[k] % parts, q - 1 + least - base, f1[k], cid[k], open_ - base, None))
+                                open_ = None
+                            x = int.from_bytes(hashlib.blake2b(suffix, digest_size=8).digest())
+                            rows.append((x % parts, x - (1 << 63), f1[k], cid[k], q - base, suffix))
+                        if open_ is not None:
+                            rows.append((f1[k] % parts, j + least - base, f1[k], cid[k], open_ - base, None))
                     cols = list(zip(*rows, strict=True)) or [()] * 6
                     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "lead", "f1", "cid", "first", "around"])
@@ -315,17 +358,47 @@ def _spans(around: DataFrame, least: int, parts: int) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held))
 
-    ranged = around.repartition(parts, "part").sortWithinPartitions("lead")
+    ranged = around.repartitionById(parts, F.col("part")).sortWithinPartitions("lead")  # a part is a task: hashes of parts would meet
     return ranged.select("lead", "f1", "cid", "first", "around").mapInArrow(tidy(sort), "f1 long, start long, stop long")
 
 
-def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marks, spans, packed). marks: (doc_id, n_bytes, f1, f2, whole, cid) of each row; spans: (f1, starts, ends), removed
-    ranges of each text when its least document asks, unmerged; packed: (f1, packed) of texts, copies included."""
-    fingered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"f1": F.xxhash64(F.lit(1), "text"), "f2": F.xxhash64(F.lit(2), "text")})
-    long_enough = fingered.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
-    marks = held.stored(fingered.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "f1", "f2", F.sha2("text", 256).alias("whole")), "marks")
-    classes = marks.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= least)).groupBy("f1").agg(F.min("doc_id").alias("cid"))
+def _fingers(n_bytes: str = "n_bytes") -> dict:
+    return {"f1": F.xxhash64(F.lit(1), "text"), "f2": F.xxhash64(F.lit(2), "text"), n_bytes: F.octet_length("text").cast("long")}
+
+
+def _keys(marks: DataFrame, held: Scratch):
+    """A function that adds the column key to a table with (f1, f2, n_bytes): one number for each text.
+
+    That is f1, except where texts that differ in f2 or length share it, as some do among very many texts: there all three
+    are hashed anew, until no two texts share a key."""
+    added: list[tuple[int, DataFrame]] = []
+
+    def keyed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("key", F.col("f1"))
+        for seed, shared in added:
+            df = df.join(shared, "key", "left").withColumn("key", F.when(F.col("shared__"), F.xxhash64(F.lit(seed), "f1", "f2", "n_bytes")).otherwise(F.col("key"))).drop("shared__")
+        return df
+
+    for seed in range(101, 109):
+        text = F.struct("f1", "f2", "n_bytes")
+        shared = held.stored(keyed(marks.select("f1", "f2", "n_bytes")).groupBy("key").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("key", F.lit(True).alias("shared__")), "shared")
+        n = shared.count()
+        if not n:
+            return keyed
+        added.append((seed, F.broadcast(shared) if n <= BROADCAST_KEYS else shared))
+    raise RuntimeError("fingerprints of texts stay equal")
+
+
+def repeated_spans(docs: DataFrame, least: int, held: Scratch, fingers: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks, spans, packed). marks: (doc_id, n_bytes, f1, f2, key, whole, cid) of each row; spans: (key, starts, ends),
+    removed ranges of each text when its least document asks, unmerged; packed: (key, packed) of texts, copies included."""
+    fingered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns(fingers or _fingers())
+    marks = held.stored(fingered.select("doc_id", "n_bytes", "f1", "f2", F.sha2("text", 256).alias("whole")), "marks")
+    large = F.col("doc_id").isNotNull() & (F.col("n_bytes") >= least)
+    keyed = _keys(marks.where(large), held)
+    marks = keyed(marks)
+    long_enough = keyed(fingered.where(large)).select("doc_id", F.col("key").alias("f1"), "text")
+    classes = marks.where(large).groupBy(F.col("key").alias("f1")).agg(F.min("doc_id").alias("cid"))
     again = held.stored(_repeated_anchors(long_enough.select("f1", "text"), least).join(classes, "f1"), "anchors")
 
     def pack(batches):
@@ -342,10 +415,11 @@ def repeated_spans(docs: DataFrame, least: int, held: Scratch) -> tuple[DataFram
 
     # one query from here on, so that the texts, needed twice, are shuffled by fingerprint once
     packed = long_enough.select("f1", "text").mapInArrow(tidy(pack), "f1 long, packed binary")
-    parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    around = _surroundings(packed.join(again.hint("merge"), "f1"), least, _splitters(long_enough, least, parts))
+    parts = max(16, parts_for(docs, 2.0))
+    splitters, common = _splitters(long_enough, marks.count(), least, parts)
+    around = _surroundings(packed.join(again.hint("merge"), "f1"), least, splitters, common, parts)
     spans = _spans(around, least, parts).groupBy("f1").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("ends"))
-    return marks.join(classes, "f1", "left"), spans, packed
+    return marks.join(classes.withColumnRenamed("f1", "key"), "key", "left"), spans, packed
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -358,16 +432,9 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of {start, end} in bytes) for each row of docs.
-
-    A byte goes if a string of `least` bytes over it also starts in a document with a smaller doc_id. Null texts are empty.
-    Rows that share a doc_id don't remove each other's bytes. A row with a null doc_id loses nothing and makes no other
-    lose anything. Texts shorter than `least` are kept whole. Other columns are
-    ignored; texts of any length are looked at whole.
-    """
-    held = Scratch(docs.sparkSession)
-    marks, spans, packed = repeated_spans(docs, least, held)
+def _removed(docs: DataFrame, least: int, held: Scratch, fingers: dict | None = None) -> DataFrame:
+    """doc_id, n_bytes, f1, f2, n_removed, kept_sha256, removed of each row of docs."""
+    marks, spans, packed = repeated_spans(docs, least, held, fingers)
 
     def apply(batches):
         z = zstandard.ZstdDecompressor()
@@ -383,45 +450,68 @@ def suffix_dedup(docs: DataFrame, least: int = 50) -> DataFrame:
                 out.append((f1, sum(b - a for a, b in gone), digest.hexdigest(), [{"start": a, "end": b} for a, b in gone]))
             cols = list(zip(*out, strict=True)) or [()] * 4
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], ["f1", "gone", "kept", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], ["key", "gone", "kept", "ranges"])
 
-    cut = packed.join(spans.hint("merge"), "f1").select("f1", "packed", "starts", "ends").mapInArrow(tidy(apply), "f1 long, gone long, kept string, ranges array<struct<start:long,end:long>>").dropDuplicates(["f1"])
+    cut = packed.join(spans.hint("merge"), "f1").select("f1", "packed", "starts", "ends").mapInArrow(tidy(apply), "key long, gone long, kept string, ranges array<struct<start:long,end:long>>").dropDuplicates(["key"])
     copy = (F.col("doc_id") > F.col("cid")) & (F.col("n_bytes") >= least)
-    own = (F.col("doc_id") == F.col("cid")) & F.col("gone").isNotNull()
+    own = (F.col("doc_id") == F.col("cid")) & (F.col("n_bytes") >= least) & F.col("gone").isNotNull()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:long,end:long>>")
-    out = marks.join(cut, "f1", "left").select(
+    return marks.join(cut, "key", "left").select(
         "doc_id",
         "n_bytes",
+        "f1",
+        "f2",
         F.when(copy, F.col("n_bytes")).when(own, F.col("gone")).otherwise(0).cast("long").alias("n_removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).when(own, F.col("kept")).otherwise(F.col("whole")).alias("kept_sha256"),
         F.when(copy, whole).when(own, F.col("ranges")).otherwise(none).alias("removed"),
     )
-    out = stored(out.withColumn("n_spans", F.size("removed").cast("long")), "suffix-dedup")
+
+
+def suffix_dedup(docs: DataFrame, least: int = 50, fingers: dict | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of {start, end} in bytes) for each row of docs.
+
+    A byte goes if a string of `least` bytes over it also starts in a document with a smaller doc_id. Null texts are empty.
+    Rows that share a doc_id don't remove each other's bytes. A row with a null doc_id loses nothing and makes no other
+    lose anything. Texts shorter than `least` are kept whole. An empty table gives an empty result; other columns are
+    ignored; texts of any length are looked at whole (anchors in steps of STEP_BYTES). fingers: columns f1, f2 and n_bytes
+    that tell texts apart; f1 alone may be shared.
+    """
+    held = Scratch(docs.sparkSession)
+    out = _removed(docs, least, held, fingers).drop("f1", "f2").withColumn("n_spans", F.size("removed").cast("long"))
+    out = stored(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"), "suffix-dedup")
     held.clear()
     return out
 
 
 def strip_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """The rows of docs, all columns, with the removed bytes cut out of text (what is left of a cut character goes too)."""
-    ranges = suffix_dedup(docs, least).where("n_removed > 0").select("doc_id", "n_bytes", "removed").dropDuplicates(["doc_id", "n_bytes"])
-    columns = docs.columns
-    tagged = docs.withColumn("n_bytes__", F.octet_length("text").cast("long"))
-    joined = tagged.join(ranges.select(F.col("doc_id").alias("doc_id__"), F.col("n_bytes").alias("n_bytes_2__"), "removed"), (F.col("doc_id") == F.col("doc_id__")) & (F.col("n_bytes__") == F.col("n_bytes_2__")), "left")
+    """The rows of docs, all columns, whatever they are called, with the removed bytes cut out of text (what is left of a
+    cut character goes too).
+
+    Same rules as suffix_dedup: rows of one doc_id with different texts are cut each by its own ranges, a repeated row
+    comes back as often as it is there, a row with a null doc_id or text as it is, a copy of another's text with an empty
+    text; an empty table gives an empty result."""
+    held = Scratch(docs.sparkSession)
+    ranges = stored(_removed(docs, least, held).where("n_removed > 0").select(F.col("doc_id").alias("id"), "f1", "f2", "removed").dropDuplicates(["id", "f1", "f2"]), "removed")
+    held.clear()
+    columns, kind = docs.columns, docs.schema
+    t = next(i for i, c in enumerate(columns) if c.lower() == "text")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), *[c.alias(k) for k, c in _fingers().items() if k != "n_bytes"])
+    joined = own.join(ranges, ["id", "f1", "f2"], "left").select("row", "removed")
 
     def strip(batches):
         for batch in batches:
-            t = batch.schema.get_field_index("text")
-            r = batch.schema.get_field_index("removed")
-            texts, removed = batch.column(t).to_pylist(), batch.column(r).to_pylist()
-            for i, gone in enumerate(removed):
-                if gone:
+            fields, removed = batch.column(0).flatten(), batch.column(1)
+            hit = np.flatnonzero(removed.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if hit:
+                texts = fields[t].to_pylist()
+                for i in hit:
                     raw, at, kept = texts[i].encode(), 0, []
-                    for x in gone:
+                    for x in removed[i].as_py():
                         kept.append(raw[at : x["start"]])
                         at = x["end"]
                     texts[i] = b"".join([*kept, raw[at:]]).decode(errors="ignore")
-            arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in columns]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+                fields[t] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(fields, columns)
 
-    return joined.select(*[docs[c] for c in columns], "removed").mapInArrow(tidy(strip), docs.schema)
+    return joined.mapInArrow(tidy(strip), kind)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from firegrid.llm import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, toxicity, warc
 from firegrid.llm.common import Rolling, Scratch
@@ -129,6 +130,41 @@ def test_suffix_dedup_against_windows(docs):
     assert all(stripped[i] is None or len(stripped[i].encode()) <= want[i][0] - want[i][1] for i in want)
 
 
+def test_suffix_dedup_when_fingerprints_meet(docs):
+    want = sorted(map(str, suffix_dedup.suffix_dedup(docs).collect()))
+    weak = suffix_dedup._fingers() | {"f1": F.length("text") % 3}
+    assert sorted(map(str, suffix_dedup.suffix_dedup(docs, fingers=weak).collect())) == want
+
+
+def test_common_leading_bytes_go_suffix_by_suffix(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda k: " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(k))
+    shared = word(30)
+    texts = [f"{word(5)} {shared[: int(rng.integers(60, len(shared)))]} {word(5)}" for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = b"\1" * 50
+        want[i] = sum(gone)
+    for common in (1, 6, 1000):
+        monkeypatch.setattr(suffix_dedup, "COMMON", common)
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
+def test_strip_repeats_keeps_texts_of_one_id_apart(spark):
+    first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, first), (2, first), (2, second), (2, second), (3, None), (None, first), (4, ""), (5, "short")]
+    docs = spark.createDataFrame([(i, t, k, [k], t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, removed int, `row` array<int>, f1 string, `n.bytes` string")
+    got = suffix_dedup.strip_repeats(docs)
+    assert got.columns == docs.columns
+    want = [first, "", second, second, None, first, "", "short"]
+    assert sorted((r.removed, r.text or "", r.f1 or "") for r in got.collect()) == sorted((k, w or "", t or "") for k, ((_, t), w) in enumerate(zip(rows, want, strict=True)))
+
+
 def test_rows_with_null_ids_come_back(spark):
     base = " ".join(f"w{i}" for i in range(60))
     texts = [(None, base), (1, base + " end"), (2, base + " end"), (None, "only here " * 30), (None, "only here " * 30), (None, None), (3, "short")]
