@@ -8,6 +8,7 @@ last piece and the new one apart. Each prefix has one such edge, and the chain o
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -22,9 +23,11 @@ SPACE = "▁"
 #: Units whose encodings a worker keeps.
 KEPT_UNITS = 500_000
 KEPT_PAIRS = 1_000_000
-CHUNK = 2 << 20
+#: Units that are learned before they are merged into the table of all.
+YOUNG_UNITS = 1 << 15
+CHUNK = 256 << 10
 #: Bytes of new units whose suffixes are sorted at once.
-LEARN_BYTES = 384 << 10
+LEARN_BYTES = 128 << 10
 
 
 class Vocabulary:
@@ -34,6 +37,7 @@ class Vocabulary:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.digest = hashlib.sha256(sp.serialized_model_proto()).hexdigest()
         n = sp.get_piece_size()
         kinds = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
         text = [sp.id_to_piece(i) for i in range(n)]
@@ -94,7 +98,35 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.unit_key, self.unit_at, self.unit_len, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.old, self.young = none, none  # key, place in flat and length of each unit's ids; sorted by key
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _find(self, uniq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and length of the ids of units, and which units are known."""
+        place, length, known = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64), np.zeros(len(uniq), bool)
+        for key, at, size in (self.old, self.young):
+            if len(key):
+                found = np.minimum(np.searchsorted(key, uniq), len(key) - 1)
+                hit = np.flatnonzero(key[found] == uniq)
+                place[hit], length[hit], known[hit] = at[found[hit]], size[found[hit]], True
+        return place, length, known
+
+    def _keep(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        new = (keys, self.used + np.concatenate(([0], np.cumsum(count)))[:-1], count)
+        self.used += len(ids)
+        self.young = self._merged(self.young, new)
+        if len(self.young[0]) > YOUNG_UNITS:
+            self.old, self.young = self._merged(self.old, self.young), tuple(x[:0] for x in self.young)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
 
     def _keys(self, padded: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(padded), ">u8").astype(np.uint64).reshape(len(padded), -1).T.copy()
@@ -123,12 +155,9 @@ class Encoder:
         starts, ends = self._cut(data, at)
         keys = Rolling(data).of(starts, ends)
         uniq, one, back = np.unique(keys, return_index=True, return_inverse=True)
-        found = np.searchsorted(self.unit_key, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = found < len(self.unit_key)
-        known[inside] = self.unit_key[found[inside]] == uniq[inside]
+        place, length, known = self._find(uniq)
         if not known.all():
-            if len(self.unit_key) + (~known).sum() > KEPT_UNITS:
+            if len(self.old[0]) + len(self.young[0]) + (~known).sum() > KEPT_UNITS:
                 self._forget()
                 known[:] = False
             new, keys_ = one[~known], uniq[~known]
@@ -138,8 +167,8 @@ class Encoder:
                 b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + LEARN_BYTES, "right")))
                 self._learn(keys_[a:b], data, starts[new[a:b]], ends[new[a:b]])
                 a = b
-            found = np.searchsorted(self.unit_key, uniq)
-        place, length = self.unit_at[found][back], self.unit_len[found][back]
+            place, length, _ = self._find(uniq)
+        place, length = place[back], length[back]
         upto = np.concatenate(([0], np.cumsum(length)))
         ids = self.flat[np.arange(upto[-1]) + np.repeat(place - upto[:-1], length)]
         return ids, upto[np.searchsorted(starts, at)]
@@ -169,14 +198,7 @@ class Encoder:
         unit = np.repeat(np.arange(len(starts)), length)
         edge_from, edge_to, edge_id = self._edges(text, at, unit)
         ids, own = self._relax(text, at, unit, edge_from, edge_to, edge_id)
-        count = np.bincount(own, minlength=len(starts))
-        place = len(self.flat) + np.concatenate(([0], np.cumsum(count)))[:-1]
-        self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
-        merged = np.concatenate((self.unit_key, keys))
-        order = np.argsort(merged, kind="stable")
-        self.unit_key = merged[order]
-        self.unit_at = np.concatenate((self.unit_at, place))[order]
-        self.unit_len = np.concatenate((self.unit_len, count))[order]
+        self._keep(keys, ids.astype(np.int32), np.bincount(own, minlength=len(starts)))
 
     def suffixes(self, text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Positions at which characters begin, sorted by the bytes that follow, and these bytes as big-endian words."""
@@ -202,19 +224,26 @@ class Encoder:
         return begin[order], [x[order] for x in keys]
 
     def _bisect(self, keys: list[np.ndarray], wanted: np.ndarray, after: bool) -> np.ndarray:
-        lo, hi = np.zeros(wanted.shape[1], np.int64), np.full(wanted.shape[1], len(keys[0]))
-        for _ in range(max(1, len(keys[0])).bit_length() + 1):
-            live = lo < hi
-            mid = np.minimum((lo + hi) // 2, max(0, len(keys[0]) - 1))
-            less, equal = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-            for k, w in zip(keys, wanted, strict=True):
-                x = k[mid]
-                less |= equal & (x < w)
-                equal &= x == w
-            go = live & (less | (equal if after else False))
-            lo = np.where(go, mid + 1, lo)
-            hi = np.where(live & ~go, mid, hi)
-        return lo
+        """Where each of wanted (words x pieces) belongs among the sorted suffixes: by the first word, and for pieces that
+        are longer by the next words within the suffixes that share it."""
+        out = np.searchsorted(keys[0], wanted[0], "right" if after else "left")
+        long = np.flatnonzero(self.lengths > 8)
+        lo, hi = np.searchsorted(keys[0], wanted[0][long], "left"), np.searchsorted(keys[0], wanted[0][long], "right")
+        some = np.flatnonzero(lo < hi)
+        out[long] = lo
+        long, lo, hi = long[some], lo[some], hi[some]
+        while (live := np.flatnonzero(lo < hi)).size:
+            mid = (lo[live] + hi[live]) // 2
+            less, equal = np.zeros(len(live), bool), np.ones(len(live), bool)
+            for k, w in zip(keys[1:], wanted[1:], strict=True):
+                x, y = k[mid], w[long[live]]
+                less |= equal & (x < y)
+                equal &= x == y
+            go = less | equal if after else less
+            lo[live[go]] = mid[go] + 1
+            hi[live[~go]] = mid[~go]
+        out[long] = lo
+        return out
 
     def _edges(self, text, at, unit):
         sa, keys = self.suffixes(text)
@@ -331,12 +360,12 @@ class Decoder:
         return data[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
-_MADE: dict[int, tuple[Encoder, Decoder]] = {}
+_MADE: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def _tools(shared) -> tuple[Encoder, Decoder]:
-    """One encoder for each worker and model."""
-    key = hash(tuple(sorted(shared.value.rank)[:50])) ^ shared.value.size
+    """One encoder for each worker and model (by the digest of its file)."""
+    key = shared.value.digest
     if key not in _MADE:
         _MADE.clear()
         _MADE[key] = (Encoder(shared.value), Decoder(shared.value))
@@ -348,7 +377,8 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     (decoded equals the text, U+2581 read as a space).
 
     A null text gives null ids and decoded, and a true round_trip; an empty one gives no ids. Texts of any length are
-    encoded whole. Repeated rows are each encoded; other columns are ignored. No shuffle.
+    encoded whole. Repeated rows are each encoded; other columns are ignored; an empty table gives an empty result. No
+    shuffle. Memory: about 100 bytes a byte of the longest text or of CHUNK, and some 50 MB for units and pairs.
     """
     shared = broadcast_value(docs.sparkSession, Vocabulary(model_file))
 
