@@ -30,23 +30,32 @@ _BASE_P_INV = pow(_BASE_P, -1, _PRIME)
 _POWERS: list[np.ndarray] = []
 
 
+def _sparing() -> None:
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; left alone, it grows with what is freed
+        libc.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming finds all that is free
+
+
+def _give_back() -> None:
+    if _POWERS and len(_POWERS[0]) > 2 * CHUNK_BYTES:
+        _POWERS.clear()  # of a very long text
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run):
     """run (for mapInArrow) in a worker that gives memory back: Spark keeps workers for later tasks, and an executor's
     limit holds for all of them together."""
 
-    def inner(batches):
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD; left alone, it grows with what is freed
-            libc.mallopt(-8, 1)  # M_ARENA_MAX: one heap, so that trimming finds all that is free
+    def inner(batches):  # is sent by value with all globals it names, so it names functions alone
+        _sparing()
         try:
             yield from run(batches)
         finally:
-            if _POWERS and len(_POWERS[0]) > 2 * CHUNK_BYTES:
-                _POWERS.clear()  # of a very long text
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            _give_back()
 
     return inner
 
