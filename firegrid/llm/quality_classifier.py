@@ -70,7 +70,7 @@ class ByteConvNet:
         x = self._input(codes, flags)
         y = np.tile(self.p["cb"], (len(x), 1))
         for k in range(STEPS):
-            y[: len(x) - k] += x[k:] @ self.p["conv"][k]
+            y[: max(0, len(x) - k)] += x[k:] @ self.p["conv"][k]
         np.maximum(y, 0, out=y)
         y *= live[:, None]
         return y

@@ -316,6 +316,17 @@ def test_toxicity_learns_a_word():
     assert ((score >= 0.5) == labels[200:]).mean() > 0.9
 
 
+def test_quality_net_scores_long_texts_in_pieces_like_whole():
+    rng = np.random.default_rng(2)
+    net = quality_classifier.ByteConvNet()
+    piece = (1 << 14) * quality_classifier.STEP
+    for n in (piece - 9, piece + 1, piece + 9, 2 * piece + 17, 3):
+        text = rng.integers(97, 105, n).astype(np.uint8)
+        codes, flags, first, live, _ = quality_classifier._blocks(text, np.array([0, n]))
+        logit = net.head(net.respond(codes, flags, live).max(0)[None])[1][0]
+        assert net.score(text, np.array([0, n]))[0] == pytest.approx(1 / (1 + np.exp(-float(logit))), abs=1e-6)
+
+
 def test_quality_net_learns_symbols():
     texts, labels = _labelled()
     texts = [t.replace(b" ", b"### ") if y else t for t, y in zip(texts, labels, strict=True)]
