@@ -455,6 +455,20 @@ def _bounded_pairs(rows: DataFrame, pct: int, parts: int) -> DataFrame:
     return dealt.select("bucket", "i", "j", "side", "cid", "comp", "size", "cells").mapInArrow(tidy(search), "a long, b long, bucket long, i int, j int")
 
 
+def _numbered(classes: DataFrame, held: Scratch) -> DataFrame:
+    """classes with cid: the doc_id that stands for a class, for the least one is the likeliest source of copies and so the
+    best pivot. Where a doc_id with several texts stands for several classes, these get numbers no doc_id has."""
+    doc = F.col("rep.doc_id")
+    several = held.stored(classes.groupBy(doc.alias("several")).agg(F.count("*").alias("k")).where("k > 1").select("several"), "several")
+    n = several.count()
+    if not n:
+        return classes.withColumn("cid", doc)
+    free = min(0, classes.agg(F.min(doc)).first()[0]) - 1
+    joined = classes.join(F.broadcast(several) if n <= BROADCAST_IDS else several, doc == F.col("several"), "left")
+    own = F.when(F.col("several").isNull(), doc).otherwise(F.lit(free) - F.monotonically_increasing_id())
+    return held.stored(joined.withColumn("cid", own).drop("several"), "numbered")  # written, so the numbers stay
+
+
 def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text): components of the links
     100 * intersection >= pct * union between sets of n-word shingles of lower-case (A-Z) text.
@@ -471,9 +485,7 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     real = found.where("n_shingles > 0")
     rest = (F.first("prefix", True).alias("prefix"), F.first("cells", True).alias("cells"))
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("rep")
-    # numbered, for one doc_id may stand for several classes; the numbers are fixed by writing them
-    classes = real.groupBy("f1", "f2", "n_shingles").agg(rep, *rest).where("rep is not null").withColumn("cid", F.monotonically_increasing_id())
-    classes = held.stored(classes, "classes")
+    classes = _numbered(held.stored(real.groupBy("f1", "f2", "n_shingles").agg(rep, *rest).where("rep is not null"), "classes"), held)
     bounds = classes.select("cid", F.col("n_shingles").alias("size"), "cells")
     # lists of two members and more, each with its pivot
     members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held, parts)

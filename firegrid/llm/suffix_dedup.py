@@ -34,8 +34,8 @@ SORT_BYTES = 2 << 20
 KNOWN = 300_000
 #: Texts that are sampled for splitters, and how many bytes at most of each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 1 << 13
-#: Leading bytes that this many sampled texts hold are common.
-COMMON = 6
+#: Leading bytes that this many sampled texts hold (one in 20) are common. What is rarer than that stays one task's.
+COMMON = 100
 #: Most fingerprints that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 _LOW = np.uint64((1 << 23) - 1)
