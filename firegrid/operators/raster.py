@@ -19,9 +19,12 @@ def index_ratio(pre: Column, post: Column) -> Column:
     return (pre - post) * 1000 / (pre + 1.001)
 
 
-def reclass(cells: DataFrame, lut: DataFrame, column: str = "cls") -> DataFrame:
-    """Two-column reclass; lut (old, new) is a legend, at most a few hundred rows. Cells without an entry drop out."""
-    return cells.join(F.broadcast(lut), cells[column] == lut["old"]).drop("old")
+def reclass(cells: DataFrame, lut: list[tuple[int, int]], column: str = "cls", excluded: tuple[int, ...] = ()) -> DataFrame:
+    """Two-column reclass by lut, a list of (old, new): of entries with one old code the last wins, excluded old codes are
+    taken out first. Cells without an entry drop out. The list is a parameter, so no join takes place."""
+    codes = {old: new for old, new in lut if old not in excluded}
+    new = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col(column)] if codes else F.lit(None).cast("int")
+    return cells.withColumn("new", new).where("new is not null")
 
 
 def reclass_ranges(value: Column, ranges: list[tuple[float, float, int]]) -> Column:

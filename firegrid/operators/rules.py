@@ -64,7 +64,7 @@ def thresholds(limits: dict[str, float | None], slack: frozenset[str] = frozense
     return reduce(lambda a, b: a & b if all_of else a | b, tests) if tests else F.lit(True)
 
 
-def transform(x: Column, kind: str, eps: float = 1e-12) -> Column:
+def transform(x: Column, kind: str, eps: float = 1e-9) -> Column:
     """none, log10, ln, log1p or sqrt; null outside a function's domain."""
     if kind == "none":
         return x

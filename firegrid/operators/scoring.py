@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.operators.prefix import running_sums
+
 
 def seed_threshold(raw: Column, *floors: Column) -> Column:
     return F.greatest(raw, *floors)
@@ -22,11 +24,12 @@ def class3(pct: Column, bad: float, good: float, low_confidence: Column) -> Colu
 
 
 def ecdf(values: DataFrame, pool: DataFrame, value: str) -> DataFrame:
-    """values with pct, the share of pool's values not above their own. Pooled counts by distinct value are ordered."""
+    """values with pct, the share of pool's values not above their own, from running counts of distinct values."""
     marks = values.select(value).distinct().withColumn("n", F.lit(0).cast("long")).unionByName(pool.groupBy(value).agg(F.count("*").alias("n"))).groupBy(value).agg(F.sum("n").alias("n"))
-    w = Window.orderBy(value)  # distinct medians of polygons only
-    share = F.try_divide(F.sum("n").over(w), F.sum("n").over(Window.partitionBy()))  # an empty pool gives null
-    return values.join(marks.select(value, share.alias("pct")), value)
+    placed = running_sums(marks, [], value, {"upto": "n"})
+    share = F.try_divide(F.col("upto"), F.col("all"))  # an empty pool gives null
+    whole = pool.agg(F.count(value).alias("all"))  # one row
+    return values.join(placed.crossJoin(F.broadcast(whole)).select(value, share.alias("pct")), value)
 
 
 def merge_labels(internal: Column, external: Column, ranks: dict[str, int]) -> Column:

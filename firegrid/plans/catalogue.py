@@ -60,7 +60,7 @@ LUT = [(1, 311), (2, 312), (3, 313), (5, 324)]
 
 @query("SELECT r, c, CASE cls WHEN 1 THEN 311 WHEN 2 THEN 312 WHEN 3 THEN 313 WHEN 5 THEN 324 END AS new FROM cells WHERE cls IN (1, 2, 3, 5)")
 def reclass_lut(spark, sf_dir):
-    return raster.reclass(cells(spark, sf_dir), spark.createDataFrame(LUT, "old int, new int")).select("r", "c", "new")
+    return raster.reclass(cells(spark, sf_dir), LUT).select("r", "c", "new")
 
 
 @query("SELECT r, c, CASE WHEN value >= 0 AND value < 300 THEN 1 WHEN value >= 300 AND value < 600 THEN 2 WHEN value >= 600 AND value <= 900 THEN 3 END AS band FROM cells")

@@ -3,7 +3,7 @@ from tests.compare import differences
 
 from firegrid.plans.extended import ORACLES, QUERIES
 
-SLOW = {"components8", "components4", "grow_keep", "otsu_unit_threshold"}
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))

@@ -70,7 +70,8 @@ def test_filters_and_columns(spark):
 
 def test_rank_sum_and_dunn(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", float(v)) for v in (5, 6, 7, 8)], "g string, v double")
-    got = ranks.rank_sum(df, "g", "v").first()
+    assert ranks.rank_sum(df, "g", "v").first().p is None  # fewer than min_n values
+    got = ranks.rank_sum(df, "g", "v", min_n=4).first()
     assert (got.n1, got.n2, got.cliff_delta, got.ks) == (4, 4, -1, 1)
     assert abs(got.z) == pytest.approx(7.5 / math.sqrt(12)) and got.p == pytest.approx(0.030383, abs=1e-5)
     assert ranks.dunn(df, "g", "v").first().z == pytest.approx(-4 / math.sqrt(3))
