@@ -1,7 +1,7 @@
 import pytest
 from tests.compare import differences
 
-from firegrid.plans.extended import ORACLES, QUERIES
+from firegrid.plans.validated import ORACLES, QUERIES
 
 SLOW: set[str] = set()
 
