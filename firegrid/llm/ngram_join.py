@@ -481,11 +481,15 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """
     held = Scratch(docs.sparkSession)
     parts = parts_for(docs, 0.25)
-    found = held.stored(signatures(docs, n, pct), "signatures")
+    wide = Scratch(docs.sparkSession)
+    found = wide.stored(signatures(docs, n, pct), "signatures")
     real = found.where("n_shingles > 0")
     rest = (F.first("prefix", True).alias("prefix"), F.first("cells", True).alias("cells"))
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("rep")
     classes = _numbered(held.stored(real.groupBy("f1", "f2", "n_shingles").agg(rep, *rest).where("rep is not null"), "classes"), held)
+    found = held.stored(found.select("doc_id", "n_shingles", "f1", "f2"), "sizes")
+    real = found.where("n_shingles > 0")
+    wide.clear()  # prefixes and counts are in classes from here on
     bounds = classes.select("cid", F.col("n_shingles").alias("size"), "cells")
     # lists of two members and more, each with its pivot
     members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held, parts)
