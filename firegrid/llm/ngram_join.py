@@ -503,9 +503,16 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / pct)) + 1e-9)
     placed = held.stored(placed.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "cid", "comp"), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x1"), F.sum(F.shiftright(F.xxhash64(F.lit(5), "cid"), 24)).alias("x2")).where("a <> b")
-    once = apart.groupBy("k", "x1", "x2").agg(F.min("token").alias("token")).select("token", F.greatest(F.lit(1), F.ceil(F.col("k") / PIECE)).cast("int").alias("cuts"))
-    tiled = placed.join(once, "token").withColumn("c", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("cuts")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
+    once = held.stored(apart.groupBy("k", "x1", "x2").agg(F.min("token").alias("token")).select("token", "k"), "once")
+    # in a long list, members of its largest component are laid beside all others, but not beside each other
+    by_comp = placed.join(once.where(F.col("k") > PIECE), "token").groupBy("token", "comp").agg(F.count("*").alias("of"))
+    largest = by_comp.groupBy("token").agg(F.max(F.struct("of", "comp")).alias("top")).select("token", "top.of", F.col("top.comp").alias("top"))
+    pieces = [F.ceil(x / PIECE).cast("int") for x in (F.col("k") - F.coalesce("of", F.lit(0)), F.coalesce("of", F.lit(0)))]
+    cuts = once.join(largest, "token", "left").select("token", "top", pieces[0].alias("cuts"), pieces[1].alias("top_cuts"))
+    tiled = placed.join(cuts, "token").withColumn("in_top", F.col("comp").eqNullSafe(F.col("top"))).withColumn("h", F.xxhash64(F.lit(3), "cid"))
+    tiled = tiled.withColumn("c", F.when(F.col("in_top"), F.col("cuts") + F.pmod("h", F.greatest(F.lit(1), "top_cuts"))).otherwise(F.pmod("h", "cuts")).cast("int"))
+    last = F.col("cuts") + F.when(F.col("in_top"), 0).otherwise(F.col("top_cuts")) - 1
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
         F.col("token").alias("bucket"), F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "cid", "comp"
     )
     tiled = held.stored(tiled.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("c") == F.col("i"), 0).otherwise(1))).drop("c"), "tiles")

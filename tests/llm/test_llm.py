@@ -54,6 +54,35 @@ def test_ngram_join_against_all_pairs(docs, n, pct):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), least[i]) for i, s in rows.items()}
 
 
+def test_long_lists_in_tiles_against_all_pairs(spark, monkeypatch):
+    """Lists longer than a piece, with a large component, chains that the pivot does not reach, and texts apart."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for family, size in (("a", 24), ("b", 9), ("c", 7)):
+        own = [f"{family}{i}" for i in range(24)]
+        for step in range(size):  # each differs from the one before by a word, so the ends of a chain are far apart
+            own = list(own)
+            own[step % 24] = f"{family}x{step}"
+            texts.append(" ".join(own) + " " + PASSAGE)
+    texts += [" ".join(f"r{x}" for x in rng.integers(0, 10**6, 4)) + " " + PASSAGE for _ in range(12)]
+    order = rng.permutation(len(texts)).tolist()
+    rows = [(int(k), texts[k]) for k in order]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    least[a] = min(least[a], least[b])
+    cut, plain = [], ngram_join._bounded_pairs
+    monkeypatch.setattr(ngram_join, "PIECE", 3)
+    monkeypatch.setattr(ngram_join, "_bounded_pairs", lambda tiles, *rest: (cut.append(tiles.where("i <> j").count()), plain(tiles, *rest))[1])
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert cut[0] > 0
+    assert {r.doc_id: r.component_id for r in got} == least
+    assert len(set(least.values())) < len(rows)
+
+
 def test_one_id_with_several_texts(spark):
     base = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
