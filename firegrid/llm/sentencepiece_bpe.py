@@ -23,8 +23,9 @@ SPACE = "▁"
 #: Units whose encodings a worker keeps.
 KEPT_UNITS = 500_000
 KEPT_PAIRS = 1_000_000
-#: Units that are learned before they are merged into the table of all.
+#: Units, and pairs, that are learned before they are merged into the table of all.
 YOUNG_UNITS = 1 << 15
+YOUNG_PAIRS = 1 << 13
 CHUNK = 256 << 10
 #: Bytes of new units whose suffixes are sorted at once.
 LEARN_BYTES = 128 << 10
@@ -94,9 +95,13 @@ class Encoder:
         self.length_of[self.ids] = self.lengths
         single = {t for t in vocabulary.pieces.values() if len(t) == 1}
         self.single = single
-        self.pair_key, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._forget_pairs()
         self._forget()
 
+    def _forget_pairs(self):
+        none = (np.zeros(0, np.int64), np.zeros(0, bool))
+        self.old_pairs, self.young_pairs = none, none  # key and verdict of each pair; sorted by key
+
     def _forget(self):
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.old, self.young = none, none  # key, place in flat and length of each unit's ids; sorted by key
@@ -320,12 +325,12 @@ class Encoder:
         """Whether merging the two pieces' texts together leaves just these two."""
         key = (left << 32) | right
         uniq, back = np.unique(key, return_inverse=True)
-        at = np.searchsorted(self.pair_key, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.pair_key)
-        known[inside] = self.pair_key[at[inside]] == uniq[inside]
-        ok = np.zeros(len(uniq), bool)
-        ok[known] = self.pair_ok[at[known]]
+        known, ok = np.zeros(len(uniq), bool), np.zeros(len(uniq), bool)
+        for pairs, verdicts in (self.old_pairs, self.young_pairs):
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, uniq), len(pairs) - 1)
+                hit = np.flatnonzero(pairs[at] == uniq)
+                ok[hit], known[hit] = verdicts[at[hit]], True
         if not known.all():
             new = uniq[~known]
             verdict = np.zeros(len(new), bool)
@@ -333,11 +338,11 @@ class Encoder:
                 a, b = self._name(k >> 32), self._name(k & 0xFFFFFFFF)
                 verdict[i] = self.v.merge(a + b) == [a, b]
             ok[~known] = verdict
-            if len(self.pair_key) + len(new) > KEPT_PAIRS:
-                self.pair_key, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-            merged = np.concatenate((self.pair_key, new))
-            order = np.argsort(merged, kind="stable")
-            self.pair_key, self.pair_ok = merged[order], np.concatenate((self.pair_ok, verdict))[order]
+            if len(self.old_pairs[0]) + len(self.young_pairs[0]) + len(new) > KEPT_PAIRS:
+                self._forget_pairs()
+            self.young_pairs = self._merged(self.young_pairs, (new, verdict))
+            if len(self.young_pairs[0]) > YOUNG_PAIRS:
+                self.old_pairs, self.young_pairs = self._merged(self.old_pairs, self.young_pairs), tuple(x[:0] for x in self.young_pairs)
         return ok[back]
 
 

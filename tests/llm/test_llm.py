@@ -325,6 +325,29 @@ def test_sentencepiece_equals_library(docs):
         assert (got[i].ids, got[i].decoded) == ((None, None) if t is None else (sp.encode(t), t))
 
 
+def test_pairs_of_pieces_learned_late_are_not_sorted_among_all_known_ones(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(40)) for _ in range(50)]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    want = [i for t in texts for i in sp.encode(t)]
+    sorted_ = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (sorted_.append(len(x)), argsort(x, *a, **k))[1])
+    encoder = sentencepiece_bpe.Encoder(sentencepiece_bpe.Vocabulary())
+    known = np.arange(400_000) - (1 << 40)  # no real pair has such a key
+    encoder.old_pairs = (known, np.zeros(len(known), bool))
+    encoder.pair_key, encoder.pair_ok = encoder.old_pairs
+    assert encoder.encode_chunk(data, at)[0].tolist() == want
+    assert max(sorted_) < len(known)
+    for young, kept in ((1, 1 << 20), (50, 400), (1 << 20, 100)):  # merged at once, merged and forgotten, forgotten
+        monkeypatch.setattr(sentencepiece_bpe, "YOUNG_PAIRS", young)
+        monkeypatch.setattr(sentencepiece_bpe, "KEPT_PAIRS", kept)
+        assert sentencepiece_bpe.Encoder(encoder.v).encode_chunk(data, at)[0].tolist() == want
+
+
 def _labelled():
     rng = np.random.default_rng(0)
     texts, labels = [], []
