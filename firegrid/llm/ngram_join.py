@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from firegrid.operators.links import components
 
@@ -37,6 +38,8 @@ PIECE = 256
 CELLS = 256
 #: Most ids that are broadcast to pick texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Most ids of rows that go that are sent to every task, sorted (8 bytes each); more are joined by a shuffle of the rows.
+DROPPED_IDS = 4_000_000
 
 
 def text_hash() -> Column:
@@ -359,14 +362,16 @@ def _tile_links(rows: DataFrame, n: int, pct: int, parts: int) -> DataFrame:
     return dealt.select("bucket", "i", "j", "side", "cid", "comp", "packed").mapInArrow(tidy(search), "a long, b long")
 
 
-def _asked(pairs: DataFrame) -> DataFrame:
-    """(pivot, salt, cid): members of a pivot in pieces, each with the pivot itself."""
+def _asked(pairs: DataFrame, held: Scratch) -> DataFrame:
+    """(pivot, salt, cid): members of a pivot in pieces, each with the pivot itself. Few are broadcast, so that what they
+    are joined with moves once, to its pivots."""
     width = pairs.groupBy("pivot").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / PIECE).cast("int"))
     asked = pairs.join(width, "pivot").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int")).select("pivot", "salt", "cid")
-    return asked.unionByName(width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid")))
+    asked = held.stored(asked.unionByName(width.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("cid"))), "pieces")
+    return F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
 
 
-def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int, parts: int) -> DataFrame:
+def _open_pairs(pairs: DataFrame, bounds: DataFrame, held: Scratch, pct: int, parts: int) -> DataFrame:
     """The pairs (pivot, cid) that the bound on their overlap leaves open. bounds: (cid, size, cells)."""
 
     def search(batches):
@@ -381,7 +386,7 @@ def _open_pairs(pairs: DataFrame, bounds: DataFrame, pct: int, parts: int) -> Da
                     out.append((pivot, cid))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["pivot", "cid"])
 
-    dealt = _asked(pairs).join(bounds, "cid").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
+    dealt = _asked(pairs, held).join(bounds, "cid").repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", (F.col("cid") != F.col("pivot")).cast("int"))
     return dealt.select("pivot", "salt", "cid", "size", "cells").mapInArrow(tidy(search), "pivot long, cid long")
 
 
@@ -400,7 +405,7 @@ def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame, held: Scratch) -
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, held: Scratch, n: int, pct: int) -> DataFrame:
     """The links among pairs (pivot, cid): members of a pivot are searched in pieces, with the pivot as the query."""
     texts = _texts(docs, classes, pairs.select("cid").union(pairs.select("pivot")), held)
-    return held.stored(_pivot_links(_asked(pairs).join(texts, "cid"), n, pct, parts_for(docs, 0.25)), "links")
+    return held.stored(_pivot_links(_asked(pairs, held).join(texts, "cid"), n, pct, parts_for(docs, 0.25)), "links")
 
 
 def tile_pairs(comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, cells: np.ndarray, pct: int) -> list[tuple[int, int]] | None:
@@ -495,7 +500,7 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     members = _lists(classes.select(F.explode("prefix").alias("token"), "cid", F.col("n_shingles").alias("size")), held, parts)
     near = members.where("cid <> pivot").where(f"100 * least(size, pivot_size) >= {pct} * greatest(size, pivot_size)")
     pairs = held.stored(near.select("pivot", "cid").distinct(), "pairs")
-    links = _verified(held.stored(_open_pairs(pairs, bounds, pct, parts), "open"), docs, classes, held, n, pct)
+    links = _verified(held.stored(_open_pairs(pairs, bounds, held, pct, parts), "open"), docs, classes, held, n, pct)
     first = components(links)
     # lists that hold members apart from each other, neither of them the pivot: searched in tiles
     placed = members.where("wide and cid <> pivot").join(first.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
@@ -543,8 +548,20 @@ def ngram_join(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is its component's least; all columns, whatever they are called. Of rows with one
     doc_id all stay, and so do rows with a null doc_id, which are in no component, and texts without a word."""
-    kept = ngram_join(docs.where("doc_id is not null"), n, pct).where("doc_id = component_id").select(F.col("doc_id").alias("least__")).distinct()
+    gone = ngram_join(docs.where("doc_id is not null"), n, pct).where("doc_id <> component_id").select(F.col("doc_id").alias("gone__")).distinct()
     row = F.struct("*").alias("row")  # so that no column of docs can clash with ours
     own = docs.select(row, F.col("doc_id").cast("long").alias("own__"))
-    found = own.where("own__ is not null").join(kept, F.col("own__") == F.col("least__"), "left_semi")
-    return found.unionByName(own.where("own__ is null")).select("row.*")
+    if gone.count() > DROPPED_IDS:
+        return own.join(gone, F.col("own__") == F.col("gone__"), "left_anti").select("row.*")
+    # far fewer ids go than stay, so the rows need not move
+    shared = broadcast_value(docs.sparkSession, np.sort(gone.toArrow().column(0).to_numpy()))
+
+    def keep(batches):
+        for batch in batches:
+            ids, gone = batch.column(1), shared.value
+            known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(gone, known), max(0, len(gone) - 1))
+            stays = (gone[at] != known if len(gone) else np.ones(len(known), bool)) | ids.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(stays))], ["row"])
+
+    return own.mapInArrow(tidy(keep), StructType([StructField("row", docs.schema)])).select("row.*")

@@ -184,6 +184,22 @@ def test_common_leading_bytes_go_suffix_by_suffix(spark, monkeypatch):
         assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == want
 
 
+def test_rows_do_not_move_to_be_kept(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [(None, base), (1, base), (2, base + " end"), (2, "alone"), (3, None), (4, ""), (5, "own words here"), (0, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
+    want = sorted((i or 0, t or "") for i, t in texts if i != 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(docs, 3, 80)
+        assert "Exchange" not in kept._jdf.queryExecution().toString()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == want
+        monkeypatch.setattr(ngram_join, "DROPPED_IDS", 0)
+        assert sorted((r.doc_id or 0, r.text or "") for r in ngram_join.keep_one(docs, 3, 80).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_strip_repeats_keeps_texts_of_one_id_apart(spark):
     first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, first), (2, first), (2, second), (2, second), (3, None), (None, first), (4, ""), (5, "short")]
