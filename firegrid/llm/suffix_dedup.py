@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, broadcast_value, parts_for, stored, text_buffers, text_chunks, tidy
+from .common import CHUNK_BYTES, Rolling, Scratch, broadcast_value, parts_for, stored, text_buffers, text_chunks, tidy
 
 GRAM = 16
 #: Bytes of text whose anchors a task gathers before it sends them on.
@@ -176,19 +176,25 @@ def _splitters(docs: DataFrame, n_docs: int, least: int, parts: int) -> tuple[np
     texts = [r[0].encode()[:SAMPLE_BYTES] for r in sampled.select(F.substring("text", 1, SAMPLE_BYTES)).limit(SAMPLE_TEXTS).collect()]
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    leads, held = [], []
-    for lo, hi in _pieces(at):
-        row, pos, *_ = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], least)
-        raw = data[at[lo] : at[hi]].tobytes()
-        own = [int.from_bytes(raw[p : p + 8]) for p in pos.tolist()]
-        leads += own
-        held += {(x, lo + r) for x, r in zip(own, row.tolist(), strict=True)}
-    seen: dict[int, int] = {}
-    for x, _ in held:
-        seen[x] = seen.get(x, 0) + 1
-    common = frozenset(x for x, k in seen.items() if k >= COMMON)
-    rest = np.sort(np.array([x for x in leads if x not in common], np.uint64))
-    return np.unique(rest[np.linspace(0, len(rest) - 1, parts + 1).astype(int)[1:-1]]) if len(rest) else rest, common
+    leads, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in _pieces(at, CHUNK_BYTES):  # arrays of a step are some 60 times its bytes, and the driver has little room
+        part = data[at[lo] : at[hi]]
+        row, pos, *_ = anchors(part, at[lo : hi + 1] - at[lo], least)
+        lead = np.zeros(len(pos), np.uint64)
+        for k in range(8):  # an anchor has 16 bytes
+            lead = (lead << np.uint64(8)) | part[pos + k]
+        leads.append(lead)
+        owners.append(row + lo)
+    lead, own = np.concatenate(leads), np.concatenate(owners)
+    order = np.lexsort((own, lead))
+    lead, own = lead[order], own[order]
+    once = np.ones(len(lead), bool)
+    once[1:] = (lead[1:] != lead[:-1]) | (own[1:] != own[:-1])
+    found, count = np.unique(lead[once], return_counts=True)
+    common = found[count >= COMMON]
+    rest = lead[~np.isin(lead, common)]
+    cuts = np.unique(rest[np.linspace(0, len(rest) - 1, parts + 1).astype(int)[1:-1]]) if len(rest) else rest
+    return cuts, frozenset(common.tolist())
 
 
 def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray, common: frozenset[int], parts: int) -> DataFrame:
@@ -265,11 +271,11 @@ def _surroundings(texts: DataFrame, least: int, splitters: np.ndarray, common: f
     return texts.select("f1", "cid", "packed", "marks").mapInArrow(tidy(cut), "part int, lead long, f1 long, cid long, first long, around binary")
 
 
-def _pieces(at: np.ndarray):
-    """Rows in pieces of at most STEP_BYTES, or one longer row."""
+def _pieces(at: np.ndarray, most: int = STEP_BYTES):
+    """Rows in pieces of at most `most` bytes, or one longer row."""
     a, n = 0, len(at) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + STEP_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -184,6 +185,29 @@ def test_common_leading_bytes_go_suffix_by_suffix(spark, monkeypatch):
         assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == want
 
 
+def test_splitters_take_little_of_the_driver(spark):
+    rng = np.random.default_rng(2)
+    texts = ["the same words begin each of these texts " * 2 + " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 150)) for _ in range(1500)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    leads, held = [], Counter()
+    for t in texts:
+        raw = t.encode()
+        _, pos, *_ = suffix_dedup.anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 50)
+        own = [int.from_bytes(raw[p : p + 8]) for p in pos.tolist()]
+        leads += own
+        held.update(set(own))
+    common = {x for x, k in held.items() if k >= suffix_dedup.COMMON}
+    rest = sorted(x for x in leads if x not in common)
+    want = sorted({rest[i] for i in np.linspace(0, len(rest) - 1, 41).astype(int)[1:-1]})
+    tracemalloc.start()
+    cuts, found = suffix_dedup._splitters(docs, len(texts), 50, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert common
+    assert (cuts.tolist(), found) == (want, common)
+    assert peak < 64 << 20
+
+
 def test_rows_do_not_move_to_be_kept(spark, monkeypatch):
     base = " ".join(f"w{i}" for i in range(60))
     texts = [(None, base), (1, base), (2, base + " end"), (2, "alone"), (3, None), (4, ""), (5, "own words here"), (0, "x y z")]
