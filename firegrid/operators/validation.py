@@ -102,4 +102,7 @@ def drop_counts(ids: DataFrame, kept: dict[str, DataFrame], key: str = "fid") ->
 
 
 def common_years(a: DataFrame, b: DataFrame, year: str = "year") -> DataFrame:
-    return a.select(year).intersect(b.select(year))
+    """Years that both tables have; null is none. An aggregation that starts in each scan's task: an intersection joins all
+    rows of a year in one task before it makes them distinct."""
+    seen = a.select(year, F.lit(1).alias("side__")).unionByName(b.select(year, F.lit(2).alias("side__"))).where(F.col(year).isNotNull())
+    return seen.groupBy(year).agg(F.bit_or("side__").alias("sides__")).where("sides__ = 3").select(year)

@@ -103,3 +103,12 @@ def test_tails_and_panels(spark):
     assert got[2].pval == pytest.approx(1.0)
     assert ranks.dunn_if_apart(df.where("p = 1"), "g", "v").count() == 1
     assert ranks.dunn_if_apart(df.where("p = 2"), "g", "v").count() == 0
+
+
+def test_common_years_join_no_rows(spark):
+    years = lambda *ys: spark.createDataFrame([(y,) for y in ys], "year int")
+    got = validation.common_years(years(1999, 1999, 2001, None), years(2001, 2001, 1999, 2003, None))
+    assert sorted(r.year for r in got.collect()) == [1999, 2001]
+    assert validation.common_years(years(1999), years(1999).limit(0)).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
