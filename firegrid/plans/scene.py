@@ -38,11 +38,16 @@ def side_of(n_rows: int) -> int:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene's cells. Sums of doubles follow the order of their rows, so the rows of a cell are added in the order of
+    lineitem's files, whatever the partitions: plans that build the scene twice get equal values."""
     line, part, supplier, nation = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation"))
-    joined = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # nation: 25 rows
     side = side_of(line.count())  # from the files' footers
+    file = F.col("_metadata.file_path") if len(line.inputFiles()) > 1 else F.lit("")
+    line = line.withColumns({"file": file, "row": F.col("_metadata.row_index")})
+    joined = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # nation: 25 rows
     r, c = (F.col("l_orderkey") % side).cast("int"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % side).cast("int")
-    grid = joined.groupBy(r.alias("r"), c.alias("c")).agg(
+    placed = joined.withColumns({"r": r, "c": c}).repartition("r", "c").sortWithinPartitions("r", "c", "file", "row")
+    grid = placed.groupBy("r", "c").agg(
         (F.avg("l_extendedprice") / 100).alias("value"), F.avg("l_discount").alias("pre"), F.avg("l_tax").alias("post"), F.avg("l_quantity").alias("qty"),
         F.min(F.col("p_size") % 7 + 1).alias("cls"), F.min("n_regionkey").alias("eco"),
     )

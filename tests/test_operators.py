@@ -71,3 +71,38 @@ def test_thresholds_class3_and_labels(spark):
 def test_admin_key(spark):
     got = spark.createDataFrame([("Región de Murcia",), ("Castilla y León",)], "n string").select(scoring.admin_key(F.col("n")).alias("k")).collect()
     assert [r.k for r in got] == ["murcia", "castillaleon"]
+
+
+#: Prices of three rows of one cell; their mean is 55,000, and what doubles give depends on the order of adding.
+UP, DOWN = [(15854.77, 83420.75, 65724.48), (4547.78, 77514.54, 82937.68), (16326.08, 79965.14, 68708.78)], [(86882.56, 60424.42, 17693.02), (87546.8, 71497.18, 5956.02), (82527.87, 71897.92, 10574.21)]
+
+
+@pytest.mark.parametrize("name", ["ecdf_class3"])
+def test_rows_of_a_cell_are_added_in_the_order_of_the_files(spark, tmp_path, name):
+    import os
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from firegrid.plans.validated import ORACLES, QUERIES
+
+    small = "/root/testdata/sf0.001"
+    for t, key in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", None)):  # smaller than lineitem, so that DuckDB reads lineitem last
+        pq.write_table(pq.read_table(f"{small}/{t}.parquet", filters=[(key, "=", 0)] if key else None), tmp_path / f"{t}.parquet")
+    row = lambda r, c, price: dict(l_orderkey=r, l_partkey=0, l_suppkey=0, l_linenumber=c, l_quantity=30.0, l_extendedprice=price, l_discount=0.01, l_tax=0.02)
+    first = [row(r, c, 60000.0 + 100 * r + c) for r in range(5) for c in range(5)] + [row(10, 10, 70000.0)]
+    second = []
+    for k, three in enumerate(UP + DOWN):
+        first.append(row(11 + k % 2, 10 + k, three[0]))
+        second += [row(11 + k % 2, 10 + k, price) for price in three[1:]]
+    os.mkdir(tmp_path / "lineitem.parquet")
+    for k, rows in enumerate((first, second)):
+        pq.write_table(pa.Table.from_pylist(rows), tmp_path / "lineitem.parquet" / f"part-{k}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # so that the SQL adds in the order of the files, too
+    for t in ("part", "supplier", "nation", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'lineitem' else ''}'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
