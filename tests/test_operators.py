@@ -77,7 +77,7 @@ def test_admin_key(spark):
 UP, DOWN = [(15854.77, 83420.75, 65724.48), (4547.78, 77514.54, 82937.68), (16326.08, 79965.14, 68708.78)], [(86882.56, 60424.42, 17693.02), (87546.8, 71497.18, 5956.02), (82527.87, 71897.92, 10574.21)]
 
 
-@pytest.mark.parametrize("name", ["ecdf_class3", "keep_like_flags"])
+@pytest.mark.parametrize("name", ["ecdf_class3", "keep_like_flags", "whole_values"])
 def test_rows_of_a_cell_are_added_in_the_order_of_the_files(spark, tmp_path, name):
     import os
 
